@@ -3,7 +3,8 @@
 A bounded sample of labelled texts (SAMPLE_DOCS a language, the first by hash of id) becomes one raw-content
 dictionary of DICT_BYTES for each language. A text is normalised (lower case, only letters, single spaces), cut into
 pieces of CHUNK bytes (so that a long text doesn't become its own dictionary), and every piece of the whole text is
-compressed with every dictionary. The language with the smallest sum wins, ties to the first by name.
+compressed with every dictionary. The language with the smallest sum wins, ties to the one with most labelled documents,
+then to the first by name.
 The score is 1 - smallest / next smallest, 0 to 1; under MIN_MARGIN the text is rejected, though its language is given.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, and rejected; with one learned language the
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The sample that is learned from: documents a language, and bytes of normalised text a language. At most MAX_LANGS languages.
-SAMPLE_DOCS, DICT_BYTES, MAX_LANGS = 96, 96 * 1024, 256
-CHUNK, LEVEL, MIN_MARGIN = 1024, 3, 0.004
+SAMPLE_DOCS, DICT_BYTES, MAX_LANGS = 96, 64 * 1024, 256
+CHUNK, LEVEL, MIN_MARGIN = 1024, 8, 0.002
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -37,31 +38,33 @@ def has_letter(text: str | None) -> bool:
 
 
 def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """A dictionary for each language in df, from a sample of SAMPLE_DOCS of its documents."""
+    """A dictionary for each language in df, from a sample of SAMPLE_DOCS of its documents; the commonest language first."""
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = dict(labelled.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect())
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     ids = labelled.select(id_col, lang_col).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_DOCS).select(id_col).distinct()
     picked = labelled.join(F.broadcast(ids), id_col, "left_semi").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_DOCS)
     rows = picked.select(lang_col, "_rank", F.substring(text_col, 1, DICT_BYTES)).collect()
-    if len({r[0] for r in rows}) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     texts: dict[str, dict[str, None]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
         if has_letter(text):
             texts.setdefault(lang, {})[normalised(text)] = None
     # a share of each text, so that one long text doesn't fill a dictionary
     share = {k: max(256, DICT_BYTES // len(v)) for k, v in texts.items()}
-    return {k: " ".join(t[: share[k]] for t in v).encode()[-DICT_BYTES:] for k, v in texts.items()}
+    return {k: " ".join(t[: share[k]] for t in texts[k]).encode()[-DICT_BYTES:] for k in sorted(texts, key=lambda k: (-counts[k], k))}
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.packers = []
         for lang in self.langs:
             raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            self.packers.append(zstandard.ZstdCompressor(dict_data=raw, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
+            fixed = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(dictionaries[lang]), write_content_size=False, write_checksum=False, write_dict_id=False)
+            raw.precompute_compress(compression_params=fixed)
+            self.packers.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=fixed))
 
     def sizes(self, text: str) -> list[int]:
         data = normalised(text).encode("utf-8", "replace")

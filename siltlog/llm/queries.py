@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_components
 from .language_id import held_out, identify_languages, learn
 from .packing import pack
 from .secrets_scan import scan_secrets
@@ -45,6 +46,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, "page_id", "url")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", Scratch(spark, "jaccard"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = learn(docs.where(~held_out("doc_id")), "doc_id", "text", "lang")
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_topk": op4_topk,
         "op7_sharding": op7_sharding,
         "op8_url_filter": op8_url_filter,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_language_id": op10_language_id,
     }
 
