@@ -13,32 +13,51 @@ empty table gives an empty result; very long texts are cut like others; other co
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import sys
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .shared import BROADCAST_ROWS, Scratch
 
 SEQUENCE, END_ID = 4096, 2
 DIMS, BITS = 3, 16
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 2_000_000
+#: Words whose ids a worker remembers: some 150 MB.
+CACHE_WORDS = 1_000_000
 _SLICE = 512
 
 
+class _Words(dict):
+    """ids, as bytes, of what a word pattern finds in a text without white space."""
+
+    def __init__(self, find, model, kind: str):
+        self.find, self.model, self.kind = find, model, kind
+        self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array(self.kind)
+        for word in self.find(chunk):
+            ids.extend([t.id for t in self.model.tokenize(word if word.isascii() and word.isprintable() else self.bytes_of(word)[0][0])])
+        self[chunk] = out = ids.tobytes()
+        return out
+
+
 class TextEncoder:
     """ids of ``tokenizers``, without special tokens, as bytes.
 
     For a tokenizer that lower-cases and cuts words by PATTERN before its merges, a word's ids don't depend on its
-    neighbours; words of Latin text are then looked up, and only new ones go through the tokenizer, many at a time.
-    Texts with other letters or controls go through the tokenizer whole.
+    neighbours; what lies between white space in Latin text is then looked up, and only new words go through the merges.
+    Texts with other letters, or with the strings of special tokens, go through the tokenizer whole.
     """
 
     # Fixed value: the word pattern for which words can be looked up.
@@ -48,46 +67,37 @@ class TextEncoder:
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
         spec = json.loads(self.full.to_str())
-        self.kind = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        small = self.full.get_vocab_size() <= 1 << 16
+        self.kind = np.dtype("<u2" if small else "<u4")
         model, cut = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and steps == ["NFC", "Replace", "Lowercase"] and cut[0].get("pattern", {}).get("Regex") == self.PATTERN and self.kind.itemsize == 2
+        self.by_word = small and sys.byteorder == "little" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and steps == ["NFC", "Replace", "Lowercase"] and cut[0].get("pattern", {}).get("Regex") == self.PATTERN
         if self.by_word:
-            self.last = np.zeros(1 << 16, bool)
-            self.last[[i for piece, i in self.full.get_vocab().items() if piece.endswith("</w>")]] = True
             of = {k: "".join(re.escape(chr(c)) for c in self.LATIN if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-            self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\\s{of['L']}{of['N']}]+")
-            special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-            self.odd = re.compile("|".join([r"[^\t\n\r\x20-\x7e\xa1-ɏ]|İ", *special]))
+            words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\\s{of['L']}{of['N']}]+")
+            self.known = _Words(words.findall, self.full.model, "H")
+            self.special = [x["content"] for x in spec.get("added_tokens", [])]
+            # Python's white space has four controls more; one letter's lower case is two characters
+            self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", "\u0130", *self.special)
+            self.beyond = re.compile("[^\x00-\u024f]")
+
+    def _whole(self, text: str) -> bool:
+        if not self.by_word or any(x in text for x in self.odd):
+            return True
+        return not text.isascii() and self.beyond.search(text) is not None
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if self._whole(t)]
+        done = dict(zip(whole, self.full.encode_batch([texts[i] for i in whole], add_special_tokens=False)))
+        if self.by_word and len(self.known) > CACHE_WORDS:
             self.known.clear()
-        ids = np.array(self.full.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(words):
-            for word, a, b in zip(words, [0, *ends.tolist()], ends.tolist()):
-                self.known[word] = ids[a:b].tobytes()
-        else:  # words that aren't words of their own: one at a time
-            for word in words:
-                self.known[word] = np.array(self.full.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        return [np.array(done[i].ids, self.kind).tobytes() if i in done else b"".join(map(self.known.__getitem__, t.lower().split())) for i, t in enumerate(texts)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.by_word or self.odd.search(t)]
-        for i, e in zip(whole, self.full.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = np.array(e.ids, self.kind).tobytes()
-        split = {i: self.words.findall(texts[i].lower()) for i in range(len(texts)) if out[i] is None}
-        if split and (new := list(set().union(*split.values()).difference(self.known))):
-            self._learn(new)
-        for i, words in split.items():
-            try:
-                out[i] = b"".join(map(self.known.__getitem__, words))
-            except KeyError:  # forgotten when the memory was cleared
-                self._learn(list(set(words).difference(self.known)))
-                out[i] = b"".join(map(self.known.__getitem__, words))
-        return out
+
+@functools.lru_cache(2)
+def text_encoder(path: str) -> TextEncoder:
+    """One for a worker process, which outlives its tasks."""
+    return TextEncoder(path)
 
 
 def hilbert_key(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -133,7 +143,7 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str) ->
     """id, Hilbert key, number of tokens and their bytes for each row of df; the end token is the last."""
 
     def encode(batches):
-        encoder = TextEncoder(tokenizer_path)
+        encoder = text_encoder(tokenizer_path)
         signs, end = token_signs(max(END_ID + 1, encoder.full.get_vocab_size())), np.array([END_ID], encoder.kind).tobytes()
         for batch in batches:
             for at in range(0, len(batch), _SLICE):
