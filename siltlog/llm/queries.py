@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chroma_fingerprint import align
 from .jaccard_join import jaccard_components
 from .language_id import held_out, identify_languages, learn
+from .license_scan import oracle as license_oracle
+from .license_scan import scan_licenses
 from .packing import pack
+from .piece_lattice import encode_texts, load_pieces
 from .secrets_scan import scan_secrets
 from .shared import Scratch, table
 from .sharding import shard_documents
@@ -30,6 +34,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), Scratch(spark, "packing")).drop("width", "ids")
 
@@ -38,6 +46,15 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, Scratch(spark, "topk"))
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There are no recordings among the tables: the UTF-8 bytes of documents are played as 8-bit samples."""
+    return align(table(spark, sf_dir, "documents"), "doc_id", "text", Scratch(spark, "chroma"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", load_pieces(tokenizer_path("piece_bpe_32k.model")), Scratch(spark, "pieces"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, table(spark, sf_dir, "documents"), 8)
 
@@ -59,8 +76,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_licenses": op2_licenses,
         "op3_packing": op3_packing,
         "op4_topk": op4_topk,
+        "op5_chroma": op5_chroma,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_sharding": op7_sharding,
         "op8_url_filter": op8_url_filter,
         "op9_jaccard_join": op9_jaccard_join,
@@ -70,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_licenses": license_oracle(),
         "op4_topk": """
             WITH v AS (
               SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
