@@ -174,3 +174,24 @@ def test_follower(spark, tmp_path):
         assert sorted((bytes(r["k"]), bytes(r["v"])) for r in follower.view().where("cf = 'records'").collect()) == model.dump("records")
         follower.rebuild(store.log())
         assert follower.view().where("cf = 'records'").count() == len(model.dump("records"))
+
+
+def test_reports_of_the_command_line(spark, tmp_path, capsys):
+    import json
+
+    from siltlog.__main__ import report
+
+    with Store(spark, str(tmp_path / "s"), FAMILIES) as store:
+        store.write(WriteBatch().put("free", b"a", b"1").put("free", b"a", b"22").delete("free", b"b"))
+        made = {v: report(store, v) for v in ("cue", "stat", "spans", "verify")}
+        assert [code for _, code in made.values()] == [0] * 4
+        stat = json.loads(made["stat"][0].to_json())
+        assert stat["sequence"] == 4 and stat["graves"] == 1 and {r["column"]: r["records"] for r in stat["columns"]} == {"records": 0, "blobs": 0, "free": 1, "unit": 0}
+        assert "| segment |" in made["cue"][0].to_markdown() and "faults" in made["verify"][0].to_text()
+        done, _ = report(store, "checkpoint", target=str(tmp_path / "copy"))
+        assert done.figures["lsn"] == 3
+        # flip a checksum
+        bad = store.log().withColumn("crc", F.col("crc") + 1)
+        from siltlog.operators.reports import faulty
+
+        assert faulty(bad).count() == store.log().count()
