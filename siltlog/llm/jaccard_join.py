@@ -31,31 +31,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_ROWS, Scratch, keep_ids
+from .shared import BROADCAST_ROWS, Memo, Scratch, keep_ids
 
 WORDS, PERCENT = 5, 75
-BANDS, MINIMA, BITMAP = 8, 16, 16
+BANDS, MINIMA, BITMAP, WIDE = 8, 16, 16, 256
+#: The map of signatures seen in several components has 2**SEEN bits: 16 MB.
+SEEN = 27
 #: Shingles held to be frequent have 256 documents more than the average counter; parts of the frequent class.
 FREQUENT, SUBCLASSES = 256, 32
-_CACHE = 1_000_000
+_CACHE = 200_000
 _CHUNK = 1 << 16
 _U = np.uint64
 _FACTORS = (np.arange(1, MINIMA + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(31))) * _U(0x7FB5D329728EA185)
     h = (h ^ (h >> _U(27))) * _U(0x81DADEF4BC2DD44D)
     return h ^ (h >> _U(33))
 
 
-def shingles(text: str | None, known: _WordHashes) -> np.ndarray:
+def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     words = text.encode().lower().split() if text else []
     w = np.array([known[x] for x in words], _U)
@@ -75,9 +71,9 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return _mixed(least[0::2] * _U(0x9E3779B97F4A7C15) + least[1::2] + np.arange(BANDS, dtype=_U))
 
 
-def parity_bitmap(h: np.ndarray) -> np.ndarray:
-    """BITMAP words of 64 bits; bit i is the parity of the number of shingles that fall on it."""
-    counts = np.bincount((h & _U(BITMAP * 64 - 1)).astype(np.int64), minlength=BITMAP * 64) & 1
+def parity_bitmap(h: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    """``words`` words of 64 bits; bit i is the parity of the number of shingles that fall on it."""
+    counts = np.bincount((h & _U(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
     return np.packbits(counts.astype(np.uint8), bitorder="little").view(_U)
 
 
@@ -94,14 +90,14 @@ def signatures(h: np.ndarray, levels: np.ndarray, frequent_level: int) -> np.nda
     need = missing_at_most(len(h)) + 1
     rare = int(len(h) - frequent.sum())
     if rare >= need:
-        return h[:need]
+        return np.sort(_mixed(h[:need]))
     more = h[rare:]
     part = (more & _U(SUBCLASSES - 1)).astype(np.int64)
     again = np.ones(len(more), np.int64)
     again[np.unique(part, return_index=True)[1]] = 0
     covered = rare + np.cumsum(again)
     end = int(np.searchsorted(covered, need)) + 1
-    out = [h[:rare]]
+    out = [_mixed(h[:rare])]
     for p in np.unique(part[:end]):
         own = more[:end][part[:end] == p]
         i, j = np.triu_indices(len(own), 1)
@@ -120,15 +116,11 @@ def _list(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _longs(np.concatenate(arrays) if arrays else np.zeros(0, _U)))
 
 
-def _sets(batches, known=None):
-    """(batch of at most 2048 rows, their sets)."""
-    known = _WordHashes() if known is None else known
+def _sets(batches):
+    """(batch, the sets of its texts)."""
+    known = Memo(xxhash.xxh3_64_intdigest, _CACHE)
     for batch in batches:
-        for at in range(0, len(batch), 2048):
-            part = batch.slice(at, 2048)
-            yield part, [shingles(t, known) for t in part.column(1).to_pylist()]
-            if len(known) > _CACHE:
-                known.clear()
+        yield batch, [shingles(t, known) for t in batch.column(1).to_pylist()]
 
 
 def _described(docs: DataFrame, counters: int) -> DataFrame:
@@ -190,19 +182,24 @@ def _bound(x: str, y: str, n: Column, m: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """Those of pairs (a, b) that link, by their whole sets."""
+    """Those of pairs (a, b) that link, by their whole sets, after a wider bitmap has ruled out most of the long ones."""
     ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{label}-ids")
 
     def whole(batches):
         for part, sets in _sets(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), _list(sets)], names=["id", "set"])
-
-    sets = scratch.keep(keep_ids(docs, ids, "id").mapInArrow(whole, "id long, set array<long>"), f"{label}-sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), _list([parity_bitmap(h, WIDE) for h in sets]), _list(sets)], names=["id", "n", "wide", "set"])
+
+    sets = scratch.keep(keep_ids(docs, ids, "id").mapInArrow(whole, "id long, n long, wide array<long>, set array<long>"), f"{label}-sets")
+    wide = sets.select("id", "n", "wide")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    near = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b").where((100 + PERCENT) * (F.col("n") + F.col("m") - differ) >= 2 * PERCENT * (F.col("n") + F.col("m")))
+    near = scratch.keep(near.select("a", "b").distinct(), f"{label}-near")
+    full = sets.select("id", "set")
+    both = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     links = both.where((100 + PERCENT) * shared >= PERCENT * (F.size("x") + F.size("y"))).select("a", "b").distinct()
     links = scratch.keep(links, f"{label}-links")
-    scratch.drop(f"{label}-ids", f"{label}-sets")
+    scratch.drop(f"{label}-ids", f"{label}-sets", f"{label}-near")
     return links
 
 
@@ -210,26 +207,93 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _with_room(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that sizes and bitmaps leave room for a link."""
+    ends = classes.select("node", "n", "bitmap")
+    both = pairs.join(ends.toDF("a", "n", "x"), "a").join(ends.toDF("b", "m", "y"), "b")
+    return both.where(_within(F.col("n"), F.col("m")) & _bound("x", "y", F.col("n"), F.col("m"))).select("a", "b")
+
+
 def _quick_pairs(classes: DataFrame) -> DataFrame:
     """Each class with one other of every band group that holds both, if their bitmaps leave room for a link."""
     keyed = classes.select("node", F.explode("keys").alias("key"))
     one = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", "key")).alias("other")).where("c > 1").select("key", "other")
     pairs = keyed.join(one, "key").where("node <> other").select(*_ordered("node", "other")).distinct()
-    ends = classes.select("node", "n", "bitmap")
-    both = pairs.join(ends.toDF("a", "n", "x"), "a").join(ends.toDF("b", "m", "y"), "b")
-    return both.where(_within(F.col("n"), F.col("m")) & _bound("x", "y", F.col("n"), F.col("m"))).select("a", "b")
+    return _with_room(pairs, classes)
+
 
+def _across(indexed: DataFrame, shingles: int) -> np.ndarray:
+    """A bitmap of 2**SEEN bits by the highest bits of signatures: set for those in more than one provisional component.
 
-def _remaining_pairs(indexed: DataFrame, scratch: Scratch) -> DataFrame:
+    Pairs (signature, component) are made distinct batch by batch, cut to the 32 bits below those of their bucket, and dealt
+    by bucket, with some half a million to a bucket; each bucket answers for its own stretch of the bitmap. Cut or clashing
+    signatures can only set bits too many, which the join on whole signatures undoes.
+    """
+    bits = min(16, max(4, math.ceil(math.log2(max(1, shingles * (100 - PERCENT) / 100) / (1 << 19)))) if shingles else 4)
+    region = SEEN - bits
+
+    def gathered(batches):
+        held, n = [], 0
+        for batch in batches:
+            sigs = batch.column(1)
+            held.append((sigs.flatten().to_numpy(zero_copy_only=False).view(_U), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(sigs.offsets.to_numpy()))))
+            n += len(held[-1][0])
+            if n > 1_000_000:
+                yield held
+                held, n = [], 0
+        if held:
+            yield held
+
+    def deal(batches):
+        for held in gathered(batches):
+            flat, owner = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((owner, flat))
+            flat, owner = flat[order], owner[order]
+            first = np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]) if len(flat) else np.zeros(0, bool)
+            flat, owner = flat[first], owner[first]
+            bucket = (flat >> _U(64 - bits)).astype(np.int64)
+            cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+            low = (flat >> _U(32 - bits)).astype(np.uint32)
+            full = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.array([owner[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "low", "part"])
+
+    def gather(key, table):
+        low = np.concatenate([np.frombuffer(x, np.uint32) for x in table["low"].to_pylist()])
+        part = np.concatenate([np.frombuffer(x, np.int64) for x in table["part"].to_pylist()])
+        order = np.lexsort((part, low))
+        low, part = low[order], part[order]
+        seen = np.zeros(1 << region, bool)
+        seen[low[1:][(low[1:] == low[:-1]) & (part[1:] != part[:-1])] >> np.uint32(32 - region)] = True
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(seen, bitorder="little").tobytes(), 1)], pa.binary())})
+
+    dealt = indexed.select("part", "sigs").mapInArrow(deal, "bucket int, low binary, part binary")
+    out = np.zeros(1 << (SEEN - 3), np.uint8)
+    size = 1 << (region - 3)
+    for bucket, data in dealt.groupBy("bucket").applyInArrow(gather, "bucket int, bits binary").toLocalIterator():
+        out[bucket * size : (bucket + 1) * size] = np.frombuffer(zlib.decompress(data), np.uint8)
+    return out
+
+
+def _remaining_pairs(indexed: DataFrame, shingles: int, scratch: Scratch) -> DataFrame:
     """Pairs of classes of different provisional components that share a signature and may link."""
-    each = indexed.select("node", "part", F.explode("sigs").alias("sig"))
-    across = scratch.keep(each.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("sig"), "across")
-    bounded = across.count() <= BROADCAST_ROWS
-    held = scratch.keep(indexed.select("node", "n", "part", "bitmap", F.explode("sigs").alias("sig")).join(F.broadcast(across) if bounded else across, "sig"), "held")
+    seen = indexed.sparkSession.sparkContext.broadcast(_across(indexed, shingles))
+
+    def sift(batches):
+        for batch in batches:
+            sigs = batch.column(4)
+            flat = sigs.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(batch), dtype=np.int32), np.diff(sigs.offsets.to_numpy()))
+            at = flat.view(_U) >> _U(64 - SEEN)
+            hit = (seen.value[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+            took = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(took) for i in range(4)), pa.array(flat[hit], pa.int64())], names=["node", "n", "part", "bitmap", "sig"])
+
+    held = scratch.keep(indexed.select("node", "n", "part", "bitmap", "sigs").mapInArrow(sift, "node long, n long, part long, bitmap array<long>, sig long"), "held")
+    scratch.drop("indexed")
     counts = held.groupBy("sig", "part").count()
-    largest = counts.groupBy("sig").agg(F.max(F.struct("count", "part")).alias("m")).select("sig", F.col("m.part").alias("main"))
-    minor = held.join(largest, "sig").where("part <> main").drop("main").toDF("sig", "a", "na", "pa", "x")
-    major = held.toDF("sig", "b", "nb", "pb", "y")
+    largest = counts.groupBy("sig").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("m.part").alias("main"))
+    minor = held.join(largest, "sig").where("part <> main").select(F.col("sig"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("bitmap").alias("x"))
+    major = held.toDF("b", "nb", "pb", "y", "sig")
     room = _within(F.col("na"), F.col("nb")) & _bound("x", "y", F.col("na"), F.col("nb"))
     return minor.join(major, "sig").where((F.col("pa") != F.col("pb")) & room).select(*_ordered("a", "b")).distinct()
 
@@ -248,20 +312,20 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, scratch: Scrat
     levels, highest = _levels(rows, counters)
     members = sets.select("id", "n", "digest").join(classes.select("digest", "node"), "digest", "left").select("id", "n", "node")
     members = scratch.keep(members, "members")
+    scratch.drop("rows", "quick-pairs")
     copies = scratch.keep(members.where("id <> node").select("id").distinct(), "copies")
     shared = df.sparkSession.sparkContext.broadcast(levels)
 
     def index(batches):
         for part, found in _sets(batches):
-            full = [len(h) > 0 for h in found]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in found], pa.int64()), _list([parity_bitmap(h) if f else h for h, f in zip(found, full)]), _list([signatures(h, shared.value, highest) if f else h for h, f in zip(found, full)])], names=["node", "n", "bitmap", "sigs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in found], pa.int64()), _list([parity_bitmap(h) for h in found]), _list([signatures(h, shared.value, highest) if len(h) else h for h in found])], names=["node", "n", "bitmap", "sigs"])
 
     indexed = keep_ids(docs.where("id is not null"), copies, "id", "left_anti").mapInArrow(index, "node long, n long, bitmap array<long>, sigs array<long>").where("n > 0")
-    few = parts.count() <= BROADCAST_ROWS
-    indexed = indexed.join(F.broadcast(parts) if few else parts, "node", "left").select("node", "n", "bitmap", "sigs", F.coalesce("component", "node").alias("part"))
+    indexed = indexed.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, "node", "left").select("node", "n", "bitmap", "sigs", F.coalesce("component", "node").alias("part"))
     indexed = scratch.keep(indexed, "indexed")
-    rest = _verified(scratch.keep(_remaining_pairs(indexed, scratch), "rest-pairs"), docs, scratch, "rest")
-    scratch.drop("rows", "classes", "indexed", "held", "across", "copies", "quick-pairs", "rest-pairs")
+    total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    rest = _verified(scratch.keep(_remaining_pairs(indexed, total, scratch), "rest-pairs"), docs, scratch, "rest")
+    scratch.drop("classes", "held", "copies", "rest-pairs")
 
     ends = connected_components(quick.union(rest), scratch, "ends")
     out = members.join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, "node", "left")

@@ -28,28 +28,27 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .shared import BROADCAST_ROWS, Scratch
+from .shared import BROADCAST_ROWS, Memo, Scratch
 
 SEQUENCE, END_ID = 4096, 2
 DIMS, BITS = 3, 16
-#: Words whose ids a worker remembers: some 150 MB.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker remembers: this many to twice as many, some 60 to 120 MB.
+CACHE_WORDS = 300_000
 _SLICE = 512
 
 
-class _Words(dict):
+class _Merger:
     """ids, as bytes, of what a word pattern finds in a text without white space."""
 
     def __init__(self, find, model, kind: str):
         self.find, self.model, self.kind = find, model, kind
         self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __call__(self, chunk: str) -> bytes:
         ids = array(self.kind)
         for word in self.find(chunk):
             ids.extend([t.id for t in self.model.tokenize(word if word.isascii() and word.isprintable() else self.bytes_of(word)[0][0])])
-        self[chunk] = out = ids.tobytes()
-        return out
+        return ids.tobytes()
 
 
 class TextEncoder:
@@ -75,7 +74,7 @@ class TextEncoder:
         if self.by_word:
             of = {k: "".join(re.escape(chr(c)) for c in self.LATIN if unicodedata.category(chr(c))[0] == k) for k in "LN"}
             words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\\s{of['L']}{of['N']}]+")
-            self.known = _Words(words.findall, self.full.model, "H")
+            self.known = Memo(_Merger(words.findall, self.full.model, "H"), CACHE_WORDS)
             self.special = [x["content"] for x in spec.get("added_tokens", [])]
             # Python's white space has four controls more; one letter's lower case is two characters
             self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", "\u0130", *self.special)
@@ -89,8 +88,6 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if self._whole(t)]
         done = dict(zip(whole, self.full.encode_batch([texts[i] for i in whole], add_special_tokens=False)))
-        if self.by_word and len(self.known) > CACHE_WORDS:
-            self.known.clear()
         return [np.array(done[i].ids, self.kind).tobytes() if i in done else b"".join(map(self.known.__getitem__, t.lower().split())) for i, t in enumerate(texts)]
 
 

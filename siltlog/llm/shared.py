@@ -25,11 +25,35 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold few rows and bytes, so that workers' memory doesn't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+class Memo(dict):
+    """What ``make`` gives for a key, remembered for the last ``most`` to twice as many keys: those in use survive."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Scratch:
     """Intermediate tables written below the shared folder, so that lineage ends there and a lost executor costs no more than its own tasks."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +70,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
