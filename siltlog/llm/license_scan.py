@@ -80,9 +80,9 @@ def digest(text: Column) -> Column:
 def scan_licenses(df: DataFrame, id_col: str, text_col: str, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
     """id_col, digest, license (null: unknown) and notices (distinct ids in order, comma-joined) of each row of df."""
     spark = df.sparkSession
-    known = spark.createDataFrame(licenses or LICENSES, "license string, body string").select("license", digest(F.col("body")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
-    notices = dict(spark.createDataFrame(NOTICES, "license string, body string").select(digest(F.col("body")), "license").collect())
-    table = F.create_map(*(F.lit(x) for kv in sorted(notices.items()) for x in kv))
+    listed = F.array(*(F.struct(F.lit(a).alias("license"), digest(F.lit(b)).alias("digest")) for a, b in licenses or LICENSES))
+    known = spark.range(1).select(F.inline(listed)).groupBy("digest").agg(F.min("license").alias("license"))
+    table = F.create_map(*(x for name, body in NOTICES for x in (digest(F.lit(body)), F.lit(name))))
     rows = df.select(F.col(id_col), F.col(text_col).alias("_text"))
     lines = F.filter(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: F.lower(x).contains("licen"))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(table, digest(x))), lambda x: x.isNotNull())
