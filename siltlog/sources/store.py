@@ -30,9 +30,13 @@ MERGE_DEPTH = 8
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, families: Sequence[ColumnFamily], read_only: bool = False, ratio: float = accounting.BASE_RATIO):
+    def __init__(self, spark: SparkSession, root: str, families: Sequence[ColumnFamily], read_only: bool = False, ratio: float = accounting.BASE_RATIO, capacity: int = 0, reserve: int = 0):
+        """``capacity`` bytes of segments, of which ``reserve`` are kept for maintenance; 0 is no limit."""
         if not 0 <= ratio <= 1:
             raise ConfigError(f"a ratio of {ratio} is not between 0 and 1")
+        if capacity < 0 or reserve < 0 or capacity and reserve >= capacity:
+            raise ConfigError(f"a reserve of {reserve} of {capacity} bytes leaves nothing")
+        self.capacity, self.reserve = capacity, reserve
         self.spark, self.root, self.registry, self.read_only, self.ratio = spark, root.rstrip("/"), Registry(families), read_only, ratio
         self.files = Files(spark, root)
         self.nonce, self.purge_floor, self.holds = uuid.uuid4().bytes[:8], 0, {}
@@ -128,10 +132,15 @@ class Store:
             raise RejectedError("this store is open for reading")
         return copy.deepcopy(self.manifest)
 
+    def _room_for(self, asked: int) -> None:
+        if self.capacity and not accounting.admits(self.actual_size_bytes(), asked, self.capacity, self.reserve):
+            raise RejectedError(f"{asked} bytes don't fit below the reserve")
+
     def write(self, batch: WriteBatch) -> tuple[int, int]:
         """Apply a batch whole; the first and the one-past-last sequence number it took. An empty one writes nothing."""
         changed = self._writable()
         planned, base = plan_batch(batch, self.registry), self.sequence
+        self._room_for(sum(len(k) + len(more or b"") for _, _, k, more in planned))
         if planned:
             changed["next_lsn"], changed["next_batch"] = base + len(planned), changed["next_batch"] + 1
             self._write_segment(batch_rows(self.spark, planned, base, self.manifest["next_batch"], changed["next_segment"]), changed)
@@ -141,6 +150,9 @@ class Store:
     def put(self, cf: str, key: bytes, value: bytes) -> int:
         return self.write(WriteBatch().put(cf, key, value))[0]
 
+    #: A published manifest is as durable as its file system: every put is.
+    put_durable = put
+
     def delete(self, cf: str, key: bytes) -> int:
         """Also a missing key's delete is appended."""
         return self.write(WriteBatch().delete(cf, key))[0]
@@ -151,6 +163,7 @@ class Store:
     def append(self, df: DataFrame, order: list[str]) -> tuple[int, int]:
         """A frame (cf, k, kind, v, range_end) of any size as one batch, numbered in the order of these columns, by executors."""
         changed, base = self._writable(), self.sequence
+        self._room_for(1)
         staged = f"{self.root}/_staging/in-{uuid.uuid4().hex}"
         extra = [c for c in order if c not in ("cf", "k", "kind", "v", "range_end")]
         keep = ["cf", "k", "kind", "v", *(["range_end"] if "range_end" in df.columns else []), *extra]
@@ -233,6 +246,48 @@ class Store:
         row = reads.totals(resolve(self.log(), carry=("len",))).first()
         return row["n"], row["bytes"]
 
+    def get_range(self, cf: str, key: bytes, offset: int, length: int) -> bytes | None:
+        """None for a miss, no bytes past the value's end."""
+        row = reads.get_range(self.view(cf, Scope(key, key, True)), cf, key, offset, length).first()
+        return None if row is None else bytes(row["v"])
+
+    def size_of(self, cf: str, key: bytes) -> int | None:
+        row = reads.size_of(self.view(cf, Scope(key, key, True)), cf, key).first()
+        return None if row is None else row["len"]
+
+    def iter_keys_prefix(self, cf: str, prefix: bytes = b"") -> DataFrame:
+        return reads.iter_keys_prefix(self.view(cf, Scope.prefix(prefix)), cf, prefix)
+
+    def iter_keys_from(self, cf: str, start: bytes | None = None, ascending: bool = True) -> DataFrame:
+        return reads.iter_keys_from(self.view(cf, None if start is None else Scope.from_key(start, ascending)), cf, start, ascending)
+
+    def walk(self, cf: str, start: bytes, take, ascending: bool = True, hint: int | None = None) -> int:
+        return reads.walk(self.view(cf, Scope.from_key(start, ascending)), cf, start, take, ascending, hint)
+
+    def records(self, segment: int) -> DataFrame:
+        """Every record of a segment, dead ones too, with its file and place there."""
+        entry = next((s for s in self.manifest["segments"] if s["id"] == segment), None)
+        if entry is None:
+            raise RejectedError(f"there is no segment {segment}")
+        return self.spark.read.schema(LOG).parquet(f"{self.root}/{entry['path']}").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+    def segment_footer(self, segment: int) -> DataFrame:
+        """The key-ordered rows of a segment, without payloads."""
+        return self.records(segment).select("cf", "k", "lsn", "kind", "range_end", "len", "file", "row").orderBy("cf", "k", F.col("lsn").desc())
+
+    def register(self, cf: str, name: str, as_of: int | None = None) -> None:
+        """The family's live rows as a temporary view, for SQL."""
+        self.view(cf, None, as_of).createOrReplaceTempView(name)
+
+    def cf_disk_usage(self) -> DataFrame:
+        return reads.cf_disk_usage(resolve(self.log(), carry=("len",)), self.registry)
+
+    def live_data_size_bytes(self) -> int:
+        return self.totals()[1]
+
+    def dead_bytes(self) -> int:
+        return self.segments().agg(F.coalesce(F.sum("dead"), F.lit(0)).alias("n")).first()["n"]
+
     # -- snapshots and checkpoints
 
     def hold(self) -> int:
@@ -320,6 +375,33 @@ class Store:
     def maintain(self) -> dict:
         return {"merged": self.merge_when_due(), "compacted": self.compact_once()}
 
+    #: The trait's name of one pass.
+    reclaim_space = compact_once
+
+    def evict(self, places: DataFrame) -> dict:
+        """Rewrite the segments of these (segment_id, file, row) places without them: no tombstone is written, older versions surface again."""
+        wanted = [r[0] for r in places.select("segment_id").distinct().collect()]
+        changed = self._writable()
+        kept = None
+        for number in wanted:
+            rows = self.records(number).join(places.where(F.col("segment_id") == number).select("file", "row"), ["file", "row"], "left_anti").drop("file", "row")
+            kept = rows if kept is None else kept.unionByName(rows)
+        if kept is None:
+            return {"evicted": 0}
+        before = sum(s["records"] for s in changed["segments"] if s["id"] in wanted)
+        changed["segments"] = [s for s in changed["segments"] if s["id"] not in wanted]
+        entry = self._write_segment(kept, changed)
+        self._publish(changed)
+        return {"evicted": before - (entry["records"] if entry else 0)}
+
+    def repair(self) -> dict:
+        """Evict every record whose payload doesn't have its checksum."""
+        bad = None
+        for s in self.manifest["segments"]:
+            rows = reports.faulty(self.records(s["id"])).select(F.lit(s["id"]).alias("segment_id"), "file", "row")
+            bad = rows if bad is None else bad.unionByName(rows)
+        return self.evict(bad) if bad is not None else {"evicted": 0}
+
     def scrub(self) -> DataFrame:
         return reports.faulty(self.log()).select("segment_id", "cf", "k", "lsn")
 
@@ -332,6 +414,9 @@ class Store:
     def available_disk_bytes(self) -> int:
         return self.files.free()
 
+    def disk_volumes(self) -> list[dict]:
+        return [{"root": self.root, "used": self.actual_size_bytes(), "free": self.available_disk_bytes()}]
+
     def flush(self) -> None:
         """Nothing is held back: a published manifest is durable as far as its file system is."""
 

@@ -195,3 +195,55 @@ def test_reports_of_the_command_line(spark, tmp_path, capsys):
         from siltlog.operators.reports import faulty
 
         assert faulty(bad).count() == store.log().count()
+
+
+def test_more_of_the_store(spark, tmp_path):
+    root = str(tmp_path / "s")
+    with Store(spark, root, FAMILIES) as store:
+        store.write(WriteBatch().put("free", b"a", b"12345").put("free", b"b", b"22").put("free", b"b", b"333").delete("free", b"c"))
+        assert store.get_range("free", b"a", 1, 3) == b"234" and store.get_range("free", b"a", 9, 3) == b"" and store.get_range("free", b"z", 0, 1) is None
+        assert store.size_of("free", b"b") == 3 and store.size_of("free", b"z") is None
+        assert [bytes(r["k"]) for r in store.iter_keys_prefix("free").collect()] == [b"a", b"b"]
+        assert [bytes(r["k"]) for r in store.iter_keys_from("free", b"b", False).collect()] == [b"b", b"a"]
+        seen = []
+        assert store.walk("free", b"", lambda k, v: seen.append((k, v)) or len(seen) < 1) == 1 and seen == [(b"a", b"12345")]
+        seen.clear()
+        assert store.walk("free", b"z", lambda k, v: seen.append(k) or True, ascending=False, hint=1) == 2 and seen == [b"b", b"a"]
+        assert store.records(1).count() == 4 and [r["lsn"] for r in store.segment_footer(1).collect()] == [1, 3, 2, 4]
+        with pytest.raises(RejectedError):
+            store.records(7)
+        store.register("free", "free_rows")
+        assert spark.sql("SELECT count(*) AS n FROM free_rows").first()["n"] == 2
+        assert {r["cf"]: r["blob_bytes"] for r in store.cf_disk_usage().collect()} == {"records": 0, "blobs": 0, "free": 8, "unit": 0}
+        assert store.live_data_size_bytes() == 8 and store.dead_bytes() == 12 and store.disk_volumes()[0]["used"] > 0
+        newest = store.records(1).where("lsn = 3").select(F.lit(1).alias("segment_id"), "file", "row")
+        assert store.evict(newest) == {"evicted": 1} and store.get("free", b"b") == b"22"
+        assert store.repair() == {"evicted": 0}
+
+
+def test_an_unpublished_write_is_not_seen(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    with Store(spark, root, FAMILIES) as store:
+        store.put("free", b"a", b"1")
+        for step in ("_publish", "_write_segment"):
+            with monkeypatch.context() as m:
+                m.setattr(store, step, lambda *a, **k: (_ for _ in ()).throw(OSError("crash")))
+                with pytest.raises(OSError):
+                    store.put("free", b"a", b"2")
+            assert store.get("free", b"a") == b"1" and Store(spark, root, FAMILIES, read_only=True).get("free", b"a") == b"1"
+        stale = dict(store.manifest)
+        store.put("free", b"a", b"3")
+        store.manifest = stale  # as another writer without the lock would have it
+        with pytest.raises(RejectedError):
+            store.put("free", b"a", b"4")
+        assert Store(spark, root, FAMILIES, read_only=True).get("free", b"a") == b"3"
+
+
+def test_capacity(spark, tmp_path):
+    with pytest.raises(ConfigError):
+        Store(spark, str(tmp_path / "s"), FAMILIES, capacity=10, reserve=10)
+    with Store(spark, str(tmp_path / "s"), FAMILIES, capacity=20_000, reserve=1_000) as store:
+        store.put("free", b"a", b"1")
+        with pytest.raises(RejectedError):
+            store.put("free", b"b", b"x" * 19_500)
+        assert store.get("free", b"b") is None
