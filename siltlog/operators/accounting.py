@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import dead_fraction, droppable, record_span
 from .resolve import covers_of, graves, resolve
-from .schema import DATA, RANGE
+from .schema import DATA
 
 # The reclaimable share from which a segment is rewritten, that of the escalated tier and how far the tier must
 # fall to be left, the least share of a throttled writer, and the reserves over which it falls.
