@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_ROWS, Memo, Scratch, keep_ids
+from .shared import BROADCAST_ROWS, Memo, Scratch, keep_ids, tidy
 
 WORDS, PERCENT = 5, 75
 BANDS, MINIMA, BITMAP, WIDE = 8, 16, 16, 256
@@ -146,7 +146,7 @@ def _described(docs: DataFrame, counters: int) -> DataFrame:
             m = len(chunks)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64())), pa.array([i for i, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())], names=names)
 
-    return docs.mapInArrow(describe, "id long, n long, digest binary, keys array<long>, bitmap array<long>, chunk int, counts binary")
+    return docs.mapInArrow(tidy(describe), "id long, n long, digest binary, keys array<long>, bitmap array<long>, chunk int, counts binary")
 
 
 def _levels(rows: DataFrame, counters: int) -> tuple[np.ndarray, int]:
@@ -162,7 +162,7 @@ def _levels(rows: DataFrame, counters: int) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     total = np.zeros(counters, np.int64)
-    for chunk, data in rows.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+    for chunk, data in rows.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(tidy(add), "chunk int, counts binary").toLocalIterator():
         total[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(data), np.int64)
     mean = total.mean()
     over = total - mean
@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -
         for part, sets in _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), _list([parity_bitmap(h, WIDE) for h in sets]), _list(sets)], names=["id", "n", "wide", "set"])
 
-    sets = scratch.keep(keep_ids(docs, ids, "id").mapInArrow(whole, "id long, n long, wide array<long>, set array<long>"), f"{label}-sets")
+    sets = scratch.keep(keep_ids(docs, ids, "id").mapInArrow(tidy(whole), "id long, n long, wide array<long>, set array<long>"), f"{label}-sets")
     wide = sets.select("id", "n", "wide")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     near = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b").where((100 + PERCENT) * (F.col("n") + F.col("m") - differ) >= 2 * PERCENT * (F.col("n") + F.col("m")))
@@ -266,7 +266,7 @@ def _across(indexed: DataFrame, shingles: int) -> np.ndarray:
         seen[low[1:][(low[1:] == low[:-1]) & (part[1:] != part[:-1])] >> np.uint32(32 - region)] = True
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(seen, bitorder="little").tobytes(), 1)], pa.binary())})
 
-    dealt = indexed.select("part", "sigs").mapInArrow(deal, "bucket int, low binary, part binary")
+    dealt = indexed.select("part", "sigs").mapInArrow(tidy(deal), "bucket int, low binary, part binary")
     out = np.zeros(1 << (SEEN - 3), np.uint8)
     size = 1 << (region - 3)
     for bucket, data in dealt.groupBy("bucket").applyInArrow(gather, "bucket int, bits binary").toLocalIterator():
@@ -288,7 +288,7 @@ def _remaining_pairs(indexed: DataFrame, shingles: int, scratch: Scratch) -> Dat
             took = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(took) for i in range(4)), pa.array(flat[hit], pa.int64())], names=["node", "n", "part", "bitmap", "sig"])
 
-    held = scratch.keep(indexed.select("node", "n", "part", "bitmap", "sigs").mapInArrow(sift, "node long, n long, part long, bitmap array<long>, sig long"), "held")
+    held = scratch.keep(indexed.select("node", "n", "part", "bitmap", "sigs").mapInArrow(tidy(sift), "node long, n long, part long, bitmap array<long>, sig long"), "held")
     scratch.drop("indexed")
     counts = held.groupBy("sig", "part").count()
     largest = counts.groupBy("sig").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("m.part").alias("main"))
@@ -320,7 +320,7 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, scratch: Scrat
         for part, found in _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in found], pa.int64()), _list([parity_bitmap(h) for h in found]), _list([signatures(h, shared.value, highest) if len(h) else h for h in found])], names=["node", "n", "bitmap", "sigs"])
 
-    indexed = keep_ids(docs.where("id is not null"), copies, "id", "left_anti").mapInArrow(index, "node long, n long, bitmap array<long>, sigs array<long>").where("n > 0")
+    indexed = keep_ids(docs.where("id is not null"), copies, "id", "left_anti").mapInArrow(tidy(index), "node long, n long, bitmap array<long>, sigs array<long>").where("n > 0")
     indexed = indexed.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, "node", "left").select("node", "n", "bitmap", "sigs", F.coalesce("component", "node").alias("part"))
     indexed = scratch.keep(indexed, "indexed")
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0

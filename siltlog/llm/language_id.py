@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import tidy
+
 #: The sample that is learned from: documents a language, and bytes of normalised text a language. At most MAX_LANGS languages.
 SAMPLE_DOCS, DICT_BYTES, MAX_LANGS = 96, 64 * 1024, 256
 CHUNK, LEVEL, MIN_MARGIN = 1024, 8, 0.002
@@ -100,7 +102,7 @@ def _judged(df: DataFrame, dictionaries: dict[str, bytes], text_at: int, keep: S
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), lang, score, gone], names=[*names, "lang_pred", "score", "rejected"])
 
     out = [schema[i] for i in keep]
-    return df.mapInArrow(judge, T.StructType([*out, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+    return df.mapInArrow(tidy(judge), T.StructType([*out, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
 
 
 def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], id_col: str, text_col: str) -> DataFrame:

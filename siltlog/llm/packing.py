@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .shared import BROADCAST_ROWS, Memo, Scratch
+from .shared import BROADCAST_ROWS, Memo, Scratch, tidy
 
 SEQUENCE, END_ID = 4096, 2
 DIMS, BITS = 3, 16
-#: Words whose ids a worker remembers: this many to twice as many, some 60 to 120 MB.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker remembers: this many to twice as many, some 40 to 80 MB.
+CACHE_WORDS = 200_000
 _SLICE = 512
 
 
@@ -152,7 +152,7 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array([encoder.kind.itemsize] * len(data), pa.int32()), pa.array(data, pa.binary())], names=["id", "key", "n", "width", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, key long, n long, width int, ids binary").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(tidy(encode), f"id {rows.schema['id'].dataType.simpleString()}, key long, n long, width int, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def placed(tokens: DataFrame, scratch: Scratch) -> DataFrame:
@@ -190,7 +190,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, scratch
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "width", "ids"])
 
     kind = joined.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, width int, ids binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidy(cut), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, width int, ids binary").withColumnRenamed("id", id_col)
 
 
 def sequences(pieces: DataFrame, sequence: int = SEQUENCE, pad_id: int = 0) -> DataFrame:

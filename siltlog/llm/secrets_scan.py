@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 # The base patterns.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -184,7 +186,7 @@ def scan_secrets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=[id_col, "n_assign", "n_access", "n_hex", "n_confirmed", "base_sha256", "spans"])
 
-    return rows.mapInArrow(scan, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_confirmed long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(scan), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_confirmed long, base_sha256 string, spans string")
 
 
 def redact_secrets(df: DataFrame, text_col: str) -> DataFrame:
@@ -198,7 +200,7 @@ def redact_secrets(df: DataFrame, text_col: str) -> DataFrame:
             new = [t if t is None or not (s := base_spans(t) + confirmed_spans(t)) else redact(t, s) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
 
-    return df.mapInArrow(scan, df.schema)
+    return df.mapInArrow(tidy(scan), df.schema)
 
 
 def with_lengths(df: DataFrame) -> DataFrame:

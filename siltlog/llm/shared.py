@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
+import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         own = tempfile.mkdtemp(prefix="siltlog-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     else:
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     spark.conf.set("spark.checkpoint.dir", own)
@@ -31,6 +38,25 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own counsel
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(each):
+    """each, a function over Arrow batches, giving a worker's free memory back when a task ends: workers outlive tasks and share an executor."""
+
+    @functools.wraps(each)
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            _release()
+
+    return run
+
+
 class Memo(dict):
     """What ``make`` gives for a key, remembered for the last ``most`` to twice as many keys: those in use survive."""
 

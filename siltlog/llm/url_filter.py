@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 MAX_TRIE_RULES = 200_000
 RESULT = "host string, path string, rule string, verdict string"
 _END = re.compile("[/?#]")
@@ -111,7 +113,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str, u
                 hosts.append(host), paths.append(path), names.append(name), verdicts.append(verdict)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, names, verdicts))], names=[id_col, "host", "path", "rule", "verdict"])
 
-    return rows.mapInArrow(judge, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, {RESULT}")
+    return rows.mapInArrow(tidy(judge), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, {RESULT}")
 
 
 def url_host(url: Column) -> Column:

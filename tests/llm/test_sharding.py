@@ -4,7 +4,6 @@ import zlib
 from helpers import TEXTS, awkward, empty
 
 from siltlog.llm import sharding as H
-from siltlog.llm.shared import Scratch
 
 
 def check(rows, texts, shards):
