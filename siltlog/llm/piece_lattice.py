@@ -75,16 +75,31 @@ def _edge(start: Column, end: Column, wide: int) -> Column:
 
 
 def merge_fold(pieces: Pieces) -> Column:
-    """The ends of a word's pieces, from 0, after all merges; the leftmost of equal scores first."""
-    wide = pieces.longest + 1
-    n = F.length("word")
-
-    def step(cuts: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(cuts) - 3, F.lit(0))), lambda j: F.struct(F.when(F.size(cuts) > 2, _edge(F.get(cuts, j), F.get(cuts, j + 2), wide)["score"]).alias("s"), (-j).alias("j")))
-        best = F.array_max(F.filter(pairs, lambda p: p["s"].isNotNull()))
-        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda x, i: i != 1 - best["j"]))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+    """The ends of a word's pieces, from 0, after all merges; the leftmost of equal scores first.
+
+    The state holds the ends, and of each pair of neighbours the score of their joint edge; a merge changes two of these.
+    """
+    wide, never, n = pieces.longest + 1, F.lit(float("-inf")), F.length("word")
+    score = lambda a, b: F.coalesce(_edge(a, b, wide)["score"], never)
+    none = F.array().cast("array<double>")
+    state = lambda cuts, gain: F.struct(cuts.alias("cuts"), gain.alias("gain"))
+
+    def merged(s: Column, p: Column) -> Column:
+        """After a merge of pair p, from 1."""
+        cuts, gain = s["cuts"], s["gain"]
+        cut = lambda k: F.get(cuts, k.cast("int"))
+        left = F.when(p > 1, F.array(score(cut(p - 2), cut(p + 1)))).otherwise(none)
+        right = F.when(p < F.size(gain), F.array(score(cut(p - 1), cut(p + 2)))).otherwise(none)
+        q = p.cast("int")
+        return state(F.concat(F.slice(cuts, F.lit(1), q), F.slice(cuts, q + 2, F.size(cuts))), F.concat(F.slice(gain, F.lit(1), F.greatest(q - 2, F.lit(0))), left, right, F.slice(gain, q + 2, F.size(cuts))))
+
+    def step(s: Column, _: Column) -> Column:
+        best = F.array_max(s["gain"])
+        # an array of one element binds the place of the best pair, so that it is sought once
+        return F.when(best > never, F.get(F.transform(F.array(F.array_position(s["gain"], best)), lambda p: merged(s, p)), F.lit(0))).otherwise(s)
+
+    first = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda j: score(j, j + 2))).otherwise(none)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), state(F.sequence(F.lit(0), n), first), step)["cuts"]
 
 
 def viterbi_fold(pieces: Pieces, unknown_score: float) -> Column:
