@@ -91,7 +91,7 @@ def invalid_rows(df: DataFrame, registry: Registry) -> DataFrame:
     return df.where(~F.coalesce(known, F.lit(False)) | F.col("k").isNull() | widths | F.coalesce(bad_kind, F.lit(True)))
 
 
-def numbered(staged: DataFrame, order: list[str], base: int) -> DataFrame:
+def numbered(staged: DataFrame, base: int) -> DataFrame:
     """``staged``, written with its range ``part`` and place ``nth`` inside it by ``in_order``, with contiguous lsns from base."""
     sums = staged.groupBy("part").count()
     before = sums.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -169,7 +169,7 @@ class Store:
         keep = ["cf", "k", "kind", "v", *(["range_end"] if "range_end" in df.columns else []), *extra]
         in_order(df.select(*keep), order).write.parquet(staged)
         try:
-            rows = numbered(self.spark.read.parquet(staged), order, base).withColumn("batch_id", F.lit(changed["next_batch"]))
+            rows = numbered(self.spark.read.parquet(staged), base).withColumn("batch_id", F.lit(changed["next_batch"]))
             logged = log_frame(rows.drop(*extra))
             bad = invalid_rows(logged, self.registry).limit(1).collect()
             if bad:
