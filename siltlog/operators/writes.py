@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import RejectedError
+from ..functions.keys import pad_or_cut
 from .schema import DATA, LOG, RANGE, TOMBSTONE, Registry
 from .scope import delete_bounds, is_empty_range
 
@@ -91,6 +92,18 @@ def invalid_rows(df: DataFrame, registry: Registry) -> DataFrame:
     return df.where(~F.coalesce(known, F.lit(False)) | F.col("k").isNull() | widths | F.coalesce(bad_kind, F.lit(True)))
 
 
+def bounded(df: DataFrame, registry: Registry) -> DataFrame:
+    """df with the bounds of range deletes padded or cut to fixed widths, and without those that hold nothing."""
+    if "range_end" not in df.columns:
+        return df
+    for f in registry.families:
+        if f.width is not None:
+            mine = (F.col("cf") == f.name) & (F.col("kind") == RANGE)
+            for c in ("k", "range_end"):
+                df = df.withColumn(c, F.when(mine, pad_or_cut(F.col(c), f.width)).otherwise(F.col(c)))
+    return df.where((F.col("kind") != RANGE) | F.col("range_end").isNull() | (F.col("k") < F.col("range_end")))
+
+
 def numbered(staged: DataFrame, base: int) -> DataFrame:
     """``staged``, written with its range ``part`` and place ``nth`` inside it by ``in_order``, with contiguous lsns from base."""
     sums = staged.groupBy("part").count()

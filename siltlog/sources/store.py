@@ -22,7 +22,7 @@ from ..operators import accounting, compact, reads, reports
 from ..operators.resolve import resolve
 from ..operators.schema import LOG, RANGE, ColumnFamily, Registry
 from ..operators.scope import Scope
-from ..operators.writes import WriteBatch, batch_rows, in_order, invalid_rows, log_frame, numbered, plan_batch
+from ..operators.writes import WriteBatch, batch_rows, bounded, in_order, invalid_rows, log_frame, numbered, plan_batch
 from .files import Files
 
 #: Segments over one key from which a merge is due.
@@ -167,7 +167,7 @@ class Store:
         staged = f"{self.root}/_staging/in-{uuid.uuid4().hex}"
         extra = [c for c in order if c not in ("cf", "k", "kind", "v", "range_end")]
         keep = ["cf", "k", "kind", "v", *(["range_end"] if "range_end" in df.columns else []), *extra]
-        in_order(df.select(*keep), order).write.parquet(staged)
+        in_order(bounded(df.select(*keep), self.registry), order).write.parquet(staged)
         try:
             rows = numbered(self.spark.read.parquet(staged), base).withColumn("batch_id", F.lit(changed["next_batch"]))
             logged = log_frame(rows.drop(*extra))
@@ -175,7 +175,7 @@ class Store:
             if bad:
                 self.registry[bad[0]["cf"]]
                 raise RejectedError(f"a row is not admitted: {bad[0]['cf']} {bytes(bad[0]['k'] or b'').hex()}")
-            entry = self._write_segment(logged.where("kind <> 2 or range_end is null or k < range_end"), changed)
+            entry = self._write_segment(logged, changed)
         finally:
             self.files.delete(staged.removeprefix(f"{self.root}/"))
         if entry:

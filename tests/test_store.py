@@ -157,6 +157,14 @@ def test_purge_and_large_append(spark, tmp_path):
         assert store.count_prefix("free") == 10 and store.get("free", b"short") is None
 
 
+def test_appended_ranges_are_reshaped(spark, tmp_path):
+    with Store(spark, str(tmp_path / "s"), FAMILIES) as store:
+        rows = [("records", rec(7, a), 0, b"v", None, a) for a in range(4)] + [("records", b"\0\x07", 2, None, b"\0\x08", 10), ("records", b"b", 2, None, b"a", 11), ("records", rec(7, 9), 0, b"w", None, 12)]
+        df = spark.createDataFrame([(c, bytearray(k), kind, None if v is None else bytearray(v), None if e is None else bytearray(e), n) for c, k, kind, v, e, n in rows], "cf string, k binary, kind int, v binary, range_end binary, n int")
+        assert store.append(df, ["n"]) == (1, 7)
+        assert dump(store, "records") == [(rec(7, 9), b"w")]
+
+
 def test_follower(spark, tmp_path):
     rng, model = random.Random(3), Model()
     root = str(tmp_path / "s")
