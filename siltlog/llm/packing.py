@@ -32,23 +32,25 @@ from .shared import BROADCAST_ROWS, Memo, Scratch, tidy
 
 SEQUENCE, END_ID = 4096, 2
 DIMS, BITS = 3, 16
-#: Words whose ids a worker remembers: this many to twice as many, some 40 to 80 MB.
+#: Words whose ids a worker remembers for good; with the last ones, some 60 MB.
 CACHE_WORDS = 200_000
 _SLICE = 512
 
 
-class _Merger:
-    """ids, as bytes, of what a word pattern finds in a text without white space."""
+class _Words(Memo):
+    """ids, as bytes, of what a word pattern finds in a text without white space; what has several words is put together from theirs."""
 
-    def __init__(self, find, model, kind: str):
+    def __init__(self, find, model, kind: str, most: int):
+        super().__init__(self._merge, most)
         self.find, self.model, self.kind = find, model, kind
         self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
-    def __call__(self, chunk: str) -> bytes:
-        ids = array(self.kind)
-        for word in self.find(chunk):
-            ids.extend([t.id for t in self.model.tokenize(word if word.isascii() and word.isprintable() else self.bytes_of(word)[0][0])])
-        return ids.tobytes()
+    def _merge(self, chunk: str) -> bytes:
+        words = self.find(chunk)
+        if words == [chunk]:
+            plain = chunk.isascii() and chunk.isprintable()
+            return array(self.kind, [t.id for t in self.model.tokenize(chunk if plain else self.bytes_of(chunk)[0][0])]).tobytes()
+        return b"".join(map(self.__getitem__, words))
 
 
 class TextEncoder:
@@ -74,7 +76,7 @@ class TextEncoder:
         if self.by_word:
             of = {k: "".join(re.escape(chr(c)) for c in self.LATIN if unicodedata.category(chr(c))[0] == k) for k in "LN"}
             words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\\s{of['L']}{of['N']}]+")
-            self.known = Memo(_Merger(words.findall, self.full.model, "H"), CACHE_WORDS)
+            self.known = _Words(words.findall, self.full.model, "H", CACHE_WORDS)
             self.special = [x["content"] for x in spec.get("added_tokens", [])]
             # Python's white space has four controls more; one letter's lower case is two characters
             self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", "\u0130", *self.special)

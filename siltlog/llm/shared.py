@@ -58,19 +58,21 @@ def tidy(each):
 
 
 class Memo(dict):
-    """What ``make`` gives for a key, remembered for the last ``most`` to twice as many keys: those in use survive."""
+    """What ``make`` gives for a key. Up to ``most`` keys that were asked for twice are kept for good, besides the last ones that were asked for once."""
 
     def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most, self.once = make, most, {}
 
     def __missing__(self, key):
-        found = self.older.get(key)
+        found = self.once.pop(key, None)
+        if found is not None and len(self) < self.most:
+            self[key] = found
+            return found
         if found is None:
             found = self.make(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
+            if len(self.once) >= self.most // 2:
+                self.once.clear()
+        self.once[key] = found
         return found
 
 

@@ -122,8 +122,8 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").count() == 0
 
 
-def test_memo_keeps_what_is_used():
+def test_memo_keeps_what_was_asked_for_twice():
     made = []
     memo = Memo(lambda k: made.append(k) or k * 2, 2)
-    assert [memo[x] for x in (1, 2, 1, 3, 1, 4)] == [2, 4, 2, 6, 2, 8]
-    assert made == [1, 2, 3, 4]
+    assert [memo[x] for x in (1, 1, 2, 3, 3, 4, 1, 3, 5, 5, 6, 5)] == [2, 2, 4, 6, 6, 8, 2, 6, 10, 10, 12, 10]
+    assert made == [1, 2, 3, 4, 5, 6, 5] and set(memo) == {1, 3} and len(memo.once) <= 1
