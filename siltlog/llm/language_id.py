@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .shared import tidy
 
-#: The sample that is learned from: documents a language, and bytes of normalised text a language. At most MAX_LANGS languages.
-SAMPLE_DOCS, DICT_BYTES, MAX_LANGS = 96, 64 * 1024, 256
+#: The sample that is learned from: documents a language, characters of each, and bytes of normalised text a language. At most MAX_LANGS languages.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGS = 96, 8192, 64 * 1024, 256
 CHUNK, LEVEL, MIN_MARGIN = 1024, 8, 0.002
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -48,7 +48,7 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str,
         raise ValueError(f"more than {MAX_LANGS} languages")
     ids = labelled.select(id_col, lang_col).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_DOCS).select(id_col).distinct()
     picked = labelled.join(F.broadcast(ids), id_col, "left_semi").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_DOCS)
-    rows = picked.select(lang_col, "_rank", F.substring(text_col, 1, DICT_BYTES)).collect()
+    rows = picked.select(lang_col, "_rank", F.substring(text_col, 1, SAMPLE_CHARS)).collect()
     texts: dict[str, dict[str, None]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
         if has_letter(text):
