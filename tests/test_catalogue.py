@@ -26,3 +26,6 @@ def test_key_predicate_reaches_the_scan(spark, sf_dir, tmp_path):
     plan = view._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(k" in plan and "LessThan(k" in plan
     assert ",v:" not in plan and "<v:" not in plan
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    sizes = resolve(log).groupBy().agg(F.sum("len"))._jdf.queryExecution().executedPlan().toString()
+    assert ",v:" not in sizes and "SortAggregate" not in sizes
