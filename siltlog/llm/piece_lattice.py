@@ -160,14 +160,13 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, pieces: Pieces,
 
 
 def decode_ids(df: DataFrame, keys: list[str], ids_col: str, pieces: Pieces) -> DataFrame:
-    """The columns ``keys`` of df (which tell rows apart) and the text of their ids."""
-    table = [(i, p.encode()) for p, i, _ in pieces.rows]
+    """The columns ``keys`` of df and the text of their ids, row by row."""
+    data = {i: p.encode().hex() for p, i, _ in pieces.rows}
     if pieces.byte_base is not None:
-        table += [(pieces.byte_base + b, bytes([b])) for b in range(256)]
-    spark = df.sparkSession
-    codes = spark.createDataFrame([(i, bytearray(b)) for i, b in table], "id int, data binary")
-    each = df.select(*keys, F.posexplode(ids_col).alias("at", "id")).join(F.broadcast(codes), "id")
-    joined = each.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("h"))
-    text = F.replace(F.decode(F.unhex("h"), "utf-8"), F.lit(SPACE), F.lit(" "))
-    joined = joined.select(*keys, (F.regexp_replace(text, "^ ", "") if pieces.dummy_prefix else text).alias("text"))
-    return df.select(*keys).join(joined, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+        data |= {pieces.byte_base + b: f"{b:02x}" for b in range(256)}
+    # the bytes of each id, in a literal that is split once; ids that have none are skipped
+    table = F.split(F.lit(",".join(data.get(i, "") for i in range(max(data, default=0) + 1))), ",")
+    joined = F.array_join(F.transform(ids_col, lambda i: F.get(table, i)), "")
+    text = F.replace(F.decode(F.unhex(joined), "utf-8"), F.lit(SPACE), F.lit(" "))
+    text = F.regexp_replace(text, "^ ", "") if pieces.dummy_prefix else text
+    return df.select(*keys, F.coalesce(text, F.lit("")).alias("text"))

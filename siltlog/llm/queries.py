@@ -13,7 +13,7 @@ from .language_id import held_out, identify_languages, learn
 from .license_scan import oracle as license_oracle
 from .license_scan import scan_licenses
 from .packing import pack
-from .piece_lattice import encode_texts, load_pieces
+from .piece_lattice import decode_ids, encode_texts, load_pieces
 from .secrets_scan import scan_secrets
 from .shared import Scratch, table
 from .sharding import shard_documents
@@ -52,7 +52,11 @@ def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", load_pieces(tokenizer_path("piece_bpe_32k.model")), Scratch(spark, "pieces"))
+    """doc_id, or conv_id and turn, n_ids, ids and decoded_sha256, the digest of the text that the ids decode to, of documents and conversations."""
+    keys, pieces = ["doc_id", "conv_id", "turn"], load_pieces(tokenizer_path("piece_bpe_32k.model"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), allowMissingColumns=True)
+    encoded = encode_texts(texts, keys, "text", pieces, Scratch(spark, "pieces"))
+    return decode_ids(encoded, [*keys, "n_ids", "ids"], "ids", pieces).select(*keys, "n_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

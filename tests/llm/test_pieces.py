@@ -1,4 +1,5 @@
 import functools
+import hashlib
 import random
 
 import pytest
@@ -6,7 +7,7 @@ import sentencepiece
 from helpers import LONG, TEXTS, awkward, empty
 
 from siltlog.llm import piece_lattice as P
-from siltlog.llm.queries import tokenizer_path
+from siltlog.llm.queries import op6_sentencepiece, tokenizer_path
 from siltlog.llm.shared import Scratch
 
 
@@ -40,6 +41,15 @@ def test_awkward_rows(spark, model, monkeypatch):
     assert P.encode_texts(empty(spark), ["doc_id"], "text", pieces, Scratch(spark, "t")).count() == 0
 
 
+def test_query_encodes_and_decodes_every_text(spark, sf_dir, model):
+    _, sp = model
+    read = lambda name, *keys: {(name, *(r[k] for k in keys)): sp.encode(r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*keys, "text").collect()}
+    want = read("documents", "doc_id") | read("conversations", "conv_id", "turn")
+    rows = op6_sentencepiece(spark, sf_dir).collect()
+    got = {("documents", r["doc_id"]) if r["conv_id"] is None else ("conversations", r["conv_id"], r["turn"]): (r["n_ids"], r["ids"], r["decoded_sha256"]) for r in rows}
+    assert len(rows) == len(want) and got == {k: (len(x), x, hashlib.sha256(sp.decode(x).encode()).hexdigest()) for k, x in want.items()}
+
+
 def test_viterbi_against_every_path(spark):
     rng = random.Random(2)
     parts = sorted({"".join(rng.choices("abc", k=rng.randrange(1, 5))) for _ in range(40)} | {"a", "b"})
