@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from compare import duck_rows, rows_of
 from helpers import TEXTS, awkward, empty
 
@@ -20,6 +22,18 @@ def test_canonical_text(spark):
     assert got == {i: w for i, (_, w) in enumerate(cases)}
 
 
+def test_long_texts_and_other_notices(spark):
+    read = lambda name: Path("/usr/share/common-licenses", name).read_text()
+    apache = read("Apache-2.0")
+    cases = [(apache, "Apache-2.0"), (apache.replace("[yyyy] [name of copyright owner]", "2019 Some One"), "Apache-2.0"), (apache.split("APPENDIX")[0], "Apache-2.0"), (apache + "more", None), (S._MIT, "MIT")]
+    cases += [(read(f), w) for f, w in (("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3-only"), ("Artistic", "Artistic-1.0-Perl"))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in S.scan_licenses(df, "doc_id", "text").collect()} == {i: w for i, (_, w) in enumerate(cases)}
+    notices = [("// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\n# SPDX-License-Identifier: MIT", "GPL-2.0-or-later WITH Classpath-exception-2.0,MIT"), ('#  Licensed under the Apache License, Version 2.0 (the "License");\n# you may not', "Apache-2.0"), ("SPDX-License-Identifier: ", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(notices)], "doc_id long, text string")
+    assert {r["doc_id"]: r["notices"] for r in S.scan_licenses(df, "doc_id", "text").collect()} == {i: w for i, (_, w) in enumerate(notices)}
+
+
 def test_notices_and_awkward_rows(spark):
     df = spark.createDataFrame([(1, "x\nLicensed under CC BY-NC 4.0.\n  released under the MIT LICENCE!\nreleased under the MIT License"), (2, "a license? no")], "doc_id long, text string")
     got = {r["doc_id"]: r["notices"] for r in S.scan_licenses(df, "doc_id", "text").collect()}
