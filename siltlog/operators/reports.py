@@ -109,7 +109,7 @@ class Document:
 
 
 def document(title: str, figures: DataFrame, tables: Mapping[str, DataFrame], limit: int = 0, caveats: list[tuple[str, str | None]] | None = None) -> Document:
-    """A document of one row of figures and of tables with at most ``limit`` rows each (0: 10,000, as reports are read by people)."""
-    rows = {k: [r.asDict() for r in v.limit(limit or 10_000).collect()] for k, v in tables.items()}
+    """A document of one row of figures and of tables with at most ``limit`` rows each (0: all, which are read partition by partition)."""
+    rows = {k: [r.asDict() for r in (v.limit(limit).collect() if limit else v.toLocalIterator())] for k, v in tables.items()}
     first = figures.first()
     return Document(title, first.asDict() if first else {}, rows, caveats or [])
