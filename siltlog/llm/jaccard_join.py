@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import BROADCAST_ROWS, Memo, Scratch, keep_ids, tidy
+from .shared import Memo, Scratch, keep_ids, small, tidy
 
 WORDS, PERCENT = 5, 75
 BANDS, MINIMA, BITMAP, WIDE = 8, 16, 16, 256
@@ -39,6 +39,8 @@ BANDS, MINIMA, BITMAP, WIDE = 8, 16, 16, 256
 SEEN = 27
 #: Shingles held to be frequent have 256 documents more than the average counter; parts of the frequent class.
 FREQUENT, SUBCLASSES = 256, 32
+#: Signatures of at most FEW rows give all their pairs; of the others, a row carries the FIRSTS first of its class.
+FEW, FIRSTS = 8, 8
 _CACHE = 200_000
 _CHUNK = 1 << 16
 _U = np.uint64
@@ -182,24 +184,30 @@ def _bound(x: str, y: str, n: Column, m: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """Those of pairs (a, b) that link, by their whole sets, after a wider bitmap has ruled out most of the long ones."""
-    ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{label}-ids")
+    """Those of pairs (a, b) that link, by their whole sets, once a wider bitmap has ruled out most of the long ones."""
+
+    def ends(of: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(of.select(F.col("a").alias("id")).union(of.select("b")).distinct(), f"{label}-{name}")
+
+    def wide(batches):
+        for part, sets in _sets(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), _list([parity_bitmap(h, WIDE) for h in sets])], names=["id", "n", "wide"])
 
     def whole(batches):
         for part, sets in _sets(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), _list([parity_bitmap(h, WIDE) for h in sets]), _list(sets)], names=["id", "n", "wide", "set"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _list(sets)], names=["id", "set"])
 
-    sets = scratch.keep(keep_ids(docs, ids, "id").mapInArrow(tidy(whole), "id long, n long, wide array<long>, set array<long>"), f"{label}-sets")
-    wide = sets.select("id", "n", "wide")
+    maps = scratch.keep(keep_ids(docs, ends(pairs, "ids"), "id").mapInArrow(tidy(wide), "id long, n long, wide array<long>"), f"{label}-wide")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    near = pairs.join(wide.toDF("a", "n", "x"), "a").join(wide.toDF("b", "m", "y"), "b").where((100 + PERCENT) * (F.col("n") + F.col("m") - differ) >= 2 * PERCENT * (F.col("n") + F.col("m")))
+    near = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").where((100 + PERCENT) * (F.col("n") + F.col("m") - differ) >= 2 * PERCENT * (F.col("n") + F.col("m")))
     near = scratch.keep(near.select("a", "b").distinct(), f"{label}-near")
-    full = sets.select("id", "set")
-    both = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
+    scratch.drop(f"{label}-wide")
+    sets = scratch.keep(keep_ids(docs, ends(near, "near-ids"), "id").mapInArrow(tidy(whole), "id long, set array<long>"), f"{label}-sets")
+    both = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     links = both.where((100 + PERCENT) * shared >= PERCENT * (F.size("x") + F.size("y"))).select("a", "b").distinct()
     links = scratch.keep(links, f"{label}-links")
-    scratch.drop(f"{label}-ids", f"{label}-sets", f"{label}-near")
+    scratch.drop(f"{label}-ids", f"{label}-near", f"{label}-near-ids", f"{label}-sets")
     return links
 
 
@@ -229,7 +237,7 @@ def _across(indexed: DataFrame, shingles: int) -> np.ndarray:
     by bucket, with some half a million to a bucket; each bucket answers for its own stretch of the bitmap. Cut or clashing
     signatures can only set bits too many, which the join on whole signatures undoes.
     """
-    bits = min(16, max(4, math.ceil(math.log2(max(1, shingles * (100 - PERCENT) / 100) / (1 << 19)))) if shingles else 4)
+    bits = min(24, max(4, math.ceil(math.log2(max(1, shingles * (100 - PERCENT) / 100) / (1 << 19)))) if shingles else 4)
     region = SEEN - bits
 
     def gathered(batches):
@@ -274,28 +282,66 @@ def _across(indexed: DataFrame, shingles: int) -> np.ndarray:
     return out
 
 
-def _remaining_pairs(indexed: DataFrame, shingles: int, scratch: Scratch) -> DataFrame:
-    """Pairs of classes of different provisional components that share a signature and may link."""
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Those of rows (sig, part, ...) whose signature is in more than one provisional component, with the number of its rows."""
+    met = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("part").alias("least"), F.max("part").alias("most"))
+    return rows.join(met.where("least <> most").select("sig", "size"), "sig")
+
+
+def _met(indexed: DataFrame, shingles: int, scratch: Scratch) -> DataFrame:
+    """sig, node, part and size: a row for each class and signature of it that is in several provisional components."""
     seen = indexed.sparkSession.sparkContext.broadcast(_across(indexed, shingles))
 
     def sift(batches):
         for batch in batches:
-            sigs = batch.column(4)
+            sigs = batch.column(2)
             flat = sigs.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(batch), dtype=np.int32), np.diff(sigs.offsets.to_numpy()))
             at = flat.view(_U) >> _U(64 - SEEN)
             hit = (seen.value[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
             took = pa.array(owner[hit])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(took) for i in range(4)), pa.array(flat[hit], pa.int64())], names=["node", "n", "part", "bitmap", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit], pa.int64()), batch.column(0).take(took), batch.column(1).take(took)], names=["sig", "node", "part"])
 
-    held = scratch.keep(indexed.select("node", "n", "part", "bitmap", "sigs").mapInArrow(tidy(sift), "node long, n long, part long, bitmap array<long>, sig long"), "held")
+    held = scratch.keep(indexed.select("node", "part", "sigs").mapInArrow(tidy(sift), "sig long, node long, part long"), "held")
     scratch.drop("indexed")
-    counts = held.groupBy("sig", "part").count()
-    largest = counts.groupBy("sig").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("m.part").alias("main"))
-    minor = held.join(largest, "sig").where("part <> main").select(F.col("sig"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("bitmap").alias("x"))
-    major = held.toDF("b", "nb", "pb", "y", "sig")
+    met = scratch.keep(_crossing(held), "met")
+    scratch.drop("held")
+    return met
+
+
+def _few_pairs(met: DataFrame) -> DataFrame:
+    """All pairs across components of signatures with at most FEW rows, of which many have the same members."""
+    members = met.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("node", "part"))).alias("m")).select("m").distinct()
+    others = lambda x: F.filter("m", lambda y: (y["node"] > x["node"]) & (y["part"] != x["part"]))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(others(x), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _hub_pairs(met: DataFrame) -> DataFrame:
+    """One class of each provisional component of a signature with one class of the signature: as many as there are components."""
+    own = met.groupBy("sig", "part").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("own"))
+    hubs = own.groupBy("sig").agg(F.min("own").alias("hub"))
+    return own.join(hubs, "sig").where("own.node <> hub.node").select(*_ordered("own.node", "hub.node")).distinct()
+
+
+def _many_pairs(met: DataFrame, parts: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of classes of different components ``parts`` that share a signature of met and may link.
+
+    A pair shares many signatures; it is made at the first of them only: a row carries the FIRSTS first signatures of its class,
+    and a pair is left out where both have an earlier one in common. The main component of a signature isn't paired with itself.
+    """
+    rows = met.select("sig", "node").join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
+    rows = scratch.keep(_crossing(rows).select("sig", "node", "part"), "many")
+    firsts = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, FIRSTS).alias("firsts"))
+    mains = rows.groupBy("sig", "part").count().groupBy("sig").agg(F.max(F.struct("count", "part"))["part"].alias("main"))
+    facts = classes.select("node", "n", "bitmap").join(firsts, "node")
+    full = scratch.keep(rows.join(mains, "sig").join(facts, "node"), "full")
+    one = full.where("part <> main").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("bitmap").alias("x"), F.col("firsts").alias("fa"))
+    other = full.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("bitmap").alias("y"), F.col("firsts").alias("fb"), "main")
+    once = (F.col("pb") == F.col("main")) | (F.col("a") < F.col("b"))
     room = _within(F.col("na"), F.col("nb")) & _bound("x", "y", F.col("na"), F.col("nb"))
-    return minor.join(major, "sig").where((F.col("pa") != F.col("pb")) & room).select(*_ordered("a", "b")).distinct()
+    first = ~F.exists(F.array_intersect("fa", "fb"), lambda s: s < F.col("sig"))
+    return one.join(other, "sig").where((F.col("pa") != F.col("pb")) & once & room & first).select(*_ordered("a", "b")).distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -318,17 +364,23 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, scratch: Scrat
 
     def index(batches):
         for part, found in _sets(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in found], pa.int64()), _list([parity_bitmap(h) for h in found]), _list([signatures(h, shared.value, highest) if len(h) else h for h in found])], names=["node", "n", "bitmap", "sigs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), _list([signatures(h, shared.value, highest) if len(h) else h for h in found])], names=["node", "sigs"])
 
-    indexed = keep_ids(docs.where("id is not null"), copies, "id", "left_anti").mapInArrow(tidy(index), "node long, n long, bitmap array<long>, sigs array<long>").where("n > 0")
-    indexed = indexed.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, "node", "left").select("node", "n", "bitmap", "sigs", F.coalesce("component", "node").alias("part"))
+    indexed = keep_ids(docs.where("id is not null"), copies, "id", "left_anti").mapInArrow(tidy(index), "node long, sigs array<long>").where(F.size("sigs") > 0)
+    indexed = indexed.join(F.broadcast(parts) if small(parts) else parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "sigs")
     indexed = scratch.keep(indexed, "indexed")
     total = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    rest = _verified(scratch.keep(_remaining_pairs(indexed, total, scratch), "rest-pairs"), docs, scratch, "rest")
-    scratch.drop("classes", "held", "copies", "rest-pairs")
-
-    ends = connected_components(quick.union(rest), scratch, "ends")
-    out = members.join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, "node", "left")
+    met = _met(indexed, total, scratch)
+    few, many = met.where(F.col("size") <= FEW), met.where(F.col("size") > FEW)
+    tried = scratch.keep(_with_room(_few_pairs(few).union(_hub_pairs(many)).distinct(), classes), "tried")
+    links = scratch.keep(quick.union(_verified(tried, docs, scratch, "tried")), "links")
+    if not many.isEmpty():
+        left = _many_pairs(many, connected_components(links, scratch, "tried-parts"), classes, scratch)
+        left = scratch.keep(left.join(tried, ["a", "b"], "left_anti"), "left")
+        links = links.union(_verified(left, docs, scratch, "left"))
+    ends = connected_components(links, scratch, "ends")
+    scratch.drop("classes", "copies", "met", "tried", "many", "full", "left")
+    out = members.join(F.broadcast(ends) if small(ends) else ends, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
 
 

@@ -57,9 +57,11 @@ def near_copies(seed, n=160):
     return rows + [(n, None), (n + 1, ""), (n + 2, "A b"), (n + 3, "a B"), (n + 4, "a b c"), (0, rows[0][1])]
 
 
-@pytest.mark.parametrize("frequent", [2, 256])
-def test_against_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent,few,firsts", [(2, 8, 8), (256, 8, 8), (256, 0, 1), (2, 2, 3)])
+def test_against_brute_force(spark, monkeypatch, frequent, few, firsts):
     monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "FEW", few)
+    monkeypatch.setattr(J, "FIRSTS", firsts)
     rows = near_copies(frequent)
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), spark) == brute(rows)
 
@@ -72,10 +74,10 @@ def test_without_quick_links_nothing_is_lost(spark, monkeypatch):
 
 
 def test_shuffled_joins(spark, monkeypatch):
-    monkeypatch.setattr(J, "BROADCAST_ROWS", -1)
     from siltlog.llm import shared
 
-    monkeypatch.setattr(shared, "small", lambda df, rows=0: False)
+    for module in (J, shared):
+        monkeypatch.setattr(module, "small", lambda df, rows=0: False)
     rows = near_copies(4, 60)
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), spark) == brute(rows)
 
