@@ -2,10 +2,10 @@
 
 A document's tokens, hashed to signs, give a mean vector of DIMS dimensions; its Hilbert key orders the documents so that
 neighbours share words. Documents lie end to end in that order and are cut every SEQUENCE tokens: only the last sequence
-needs padding. Keys (32 bytes a document) are range-sorted, running sums inside the ranges and prefix sums over them give
-each document its place, and the pieces then follow row by row without a further sort.
-Tokens are made once and written as 2 or 4 bytes each to the shared folder; copies and repeated keys are told apart by id
-and row, so that a group of equal documents is spread over ranges like any others.
+needs padding. Tokens are made once and written as 2 or 4 bytes each to the shared folder, then range-sorted by key: the one
+shuffle, whatever the table's size. Running sums inside the ranges and prefix sums over them (a row for each range) give
+each document its place, and the pieces follow row by row. Copies and repeated keys are told apart by id and row, so that a
+group of equal documents is spread over ranges like any others.
 
 Cases: a null text counts as empty and has only the end token; null ids and repeated rows are packed like others; an
 empty table gives an empty result; very long texts are cut like others; other columns are dropped by name first.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
 import sys
 import unicodedata
@@ -23,15 +24,18 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .shared import BROADCAST_ROWS, Memo, Scratch, tidy
+from .shared import Memo, Scratch, tidy
 
 SEQUENCE, END_ID = 4096, 2
 DIMS, BITS = 3, 16
+#: Bytes of tokens in a range, about: the number of ranges follows the size of the table.
+RANGE_BYTES = 32 << 20
 #: Words whose ids a worker remembers for good; with the last ones, some 60 MB.
 CACHE_WORDS = 200_000
 _SLICE = 512
@@ -157,22 +161,31 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str) ->
     return rows.mapInArrow(tidy(encode), f"id {rows.schema['id'].dataType.simpleString()}, key long, n long, width int, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def placed(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """row and the number of tokens before it along the curve, of the written table ``tokens``."""
-    dealt = tokens.select("row", "id", "key", "n").repartitionByRange("key", "id", "row").withColumn("range", F.spark_partition_id())
-    inside = Window.partitionBy("range").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    order = scratch.keep(dealt.select("row", "range", "n", (F.sum("n").over(inside) - F.col("n")).alias("before")), "order")
-    sums = order.groupBy("range").agg(F.sum("n").alias("held"))  # a row for each range
-    bases = sums.select("range", F.coalesce(F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return order.join(F.broadcast(bases), "range").select("row", (F.col("base") + F.col("before")).alias("place"))
+def along_curve(tokens: DataFrame) -> DataFrame:
+    """The rows of ``tokens`` in ranges of the curve, each with its range and the number of tokens before it in the range."""
+    kind = tokens.schema["id"].dataType.simpleString()
+    size = tokens.agg(F.sum(F.col("n") * F.col("width")).alias("n")).first()["n"] or 0
+    dealt = tokens.repartitionByRange(max(1, math.ceil(size / RANGE_BYTES)), "key", "id", "row").sortWithinPartitions("key", "id", "row").select("id", "n", "width", "ids")
+
+    def run(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            ends = before + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)], names=["id", "n", "width", "ids", "range", "before"])
+            before = int(ends[-1]) if len(n) else before
+
+    return dealt.mapInArrow(tidy(run), f"id {kind}, n long, width int, ids binary, range int, before long")
 
 
 def pack(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, scratch: Scratch, sequence: int = SEQUENCE) -> DataFrame:
     """Pieces of df's documents: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, width and ids (bytes)."""
-    tokens = scratch.keep(tokenised(df, id_col, text_col, tokenizer_path), "tokens")
-    places = scratch.keep(placed(tokens, scratch), "places")
-    scratch.drop("order")
-    joined = tokens.join(F.broadcast(places) if places.count() <= BROADCAST_ROWS else places, "row").select("id", "n", "width", "ids", "place")
+    tokens = scratch.keep(tokenised(df, id_col, text_col, tokenizer_path), "tokens", "zstd")
+    curve = scratch.keep(along_curve(tokens), "curve", "zstd")
+    scratch.drop("tokens")
+    sums = curve.groupBy("range").agg(F.sum("n").alias("held"))  # a row for each range
+    bases = sums.select("range", F.coalesce(F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    joined = curve.join(F.broadcast(bases), "range").select("id", "n", "width", "ids", (F.col("base") + F.col("before")).alias("place"))
 
     def cut(batches):
         for batch in batches:

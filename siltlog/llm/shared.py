@@ -84,9 +84,9 @@ class Scratch:
         bounded_batches(spark)
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -73,9 +73,15 @@ def test_awkward_rows(spark, tokenizer):
     assert P.pack(empty(spark), "doc_id", "text", tokenizer_path(), Scratch(spark, "t")).count() == 0
 
 
-def test_places_by_a_shuffled_join(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
-    whole(P.pack(awkward(spark), "doc_id", "text", tokenizer_path(), Scratch(spark, "t"), 64).collect(), [t for _, t in TEXTS], tokenizer, 64)
+def test_copies_over_several_ranges(spark, tokenizer, monkeypatch):
+    """A group of equal documents is dealt over ranges, and sequences go on from range to range."""
+    texts = ["one and the same text of some words"] * 60 + [f"another text, {i} of many" for i in range(60)] + [None]
+    rows = spark.createDataFrame([(i % 100, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(P, "RANGE_BYTES", 500)
+    scratch = Scratch(spark, "t")
+    out = P.pack(rows, "doc_id", "text", tokenizer_path(), scratch, 64).collect()
+    assert spark.read.parquet(f"{scratch.root}/curve").select("range").distinct().count() > 3
+    whole(out, texts, tokenizer, 64)
 
 
 def test_neighbours_share_words(spark):
