@@ -54,3 +54,40 @@ def test_few_and_none(spark):
     ask = F.col("vec_id") % 50 == 0
     assert [tuple(r) for r in K.search_top_k(df, "vec_id", "embedding", ask, 5, Scratch(spark, "t")).collect()] == [(0, 1, 1, 128 * 64)]
     assert K.search_top_k(df.limit(0), "vec_id", "embedding", ask, 5, Scratch(spark, "t")).count() == 0
+
+
+def clamped(rows):
+    return sorted((q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in rows)
+
+
+def test_large_finite_components(spark):
+    """Beyond 32 bits, beyond 64 bits in the sum, and beyond what doubles can hold when multiplied by 256."""
+    rows = [(0, [1e7, -1e7, 3.0]), (1, [1e7, 1.0, 2.0]), (2, [-1e7, 5.0, 2.0]), (50, [8e6] * 3), (51, [8e6] * 3), (52, [-8e6] * 3), (100, [1e300, 1.0, -1e300]), (101, [1.7e308, 0.0, 0.0]), (102, [0.5, 0.25, -0.125]), (150, [0.5, 0.5, 0.5]), (53, [8e6, 8e6, 7.9e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in K.search_top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, Scratch(spark, "t")).collect())
+    exact = [(i, [256 * int(x) if abs(x) > 1e300 else x for x in v]) for i, v in rows]
+    floor = lambda x: x if isinstance(x, int) else math.floor(256 * x)
+    want = []
+    for q, a in exact:
+        if q % 50 == 0:
+            scores = sorted((-sum(floor(x) * floor(y) for x, y in zip(a, b)), i) for i, b in exact if i != q)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert got == clamped(want)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=3, max_size=3), min_size=2, max_size=30), st.integers(1, 5))
+def test_blocks_rank_any_floats_exactly(vectors, k):
+    x = np.array(vectors)
+    made = K._index(None, __import__("pandas").DataFrame({"v": list(x), "vec_id": np.arange(len(x))})).iloc[0]
+    block = K._Block(int(made["dims"]), int(made["n"]), made["ids"], made["x"], made["slices"])
+    whole = [[math.floor(256 * y) if math.isfinite(256 * y) else 256 * int(y) for y in v] for v in vectors]
+    for own in range(min(3, len(x))):
+        want = sorted((-sum(a * b for a, b in zip(whole[own], v)), i) for i, v in enumerate(whole) if i != own)[:k]
+        assert [(-s, i) for s, i in block.best(own, K.quantised(x[own]), k)] == want
+
+
+def test_keys_order_scores_beyond_a_long():
+    scores = sorted([s * (1 << e) + d for s in (-1, 1) for e in (63, 64, 70, 200, 2000) for d in (-1, 0, 1)])
+    keys = [K.beyond_key(s) for s in scores]
+    assert keys == sorted(keys) and None not in keys and K.beyond_key(5) is None
