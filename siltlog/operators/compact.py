@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import is_purged
-from .resolve import newest, resolve
+from .pieces import Pieces
+from .resolve import BROADCAST_COVERS, newest, resolve
 from .schema import DATA, RANGE, TOMBSTONE, Registry
 
 
@@ -35,6 +36,27 @@ def live_copies(log: DataFrame, segments: list[int], registry: Registry | None =
     return kept.withColumn("relocated", F.lit(True)) if "relocated" in log.columns else kept
 
 
+def ranges_over_older(ranges: DataFrame, data: DataFrame, few: bool | None = None) -> DataFrame:
+    """cf, k and lsn of those range deletes (cf, k, range_end, lsn) within which data (cf, k, lsn) has an older version.
+
+    Up to BROADCAST_COVERS of them are broadcast, and what they meet is reduced to them before it moves. Beyond, a range that
+    holds pieces of the keyspace whole asks for the least number there; only the pieces of its ends are searched.
+    """
+    asked = ranges.select("cf", F.col("k").alias("start"), F.col("range_end").alias("end"), "lsn").distinct()
+    n = asked.count() if few is None or not few else 0
+    within = (F.col("o.lsn") < F.col("r.lsn")) & (F.col("o.k") >= F.col("r.start")) & (F.col("r.end").isNull() | (F.col("o.k") < F.col("r.end")))
+    names = [F.col("r.cf").alias("cf"), F.col("r.start").alias("k"), F.col("r.lsn").alias("lsn")]
+    if few or few is None and n <= BROADCAST_COVERS:
+        return data.alias("o").join(F.broadcast(asked.alias("r")), (F.col("r.cf") == F.col("o.cf")) & within).select(*names).distinct()
+    pieces = Pieces(asked, n)
+    placed = data.withColumn("piece", pieces.of(F.col("k")))
+    least = placed.groupBy("cf", "piece").agg(F.min("lsn").alias("least")).withColumn("node", F.explode(pieces.above(F.col("piece")))).groupBy("cf", "node").agg(F.min("least").alias("least"))
+    over = asked.withColumn("node", F.explode(pieces.nodes(F.col("start"), F.col("end")))).join(least, ["cf", "node"]).where("least < lsn").select("cf", F.col("start").alias("k"), "lsn")
+    parts = asked.withColumn("piece", F.explode(pieces.ends(F.col("start"), F.col("end"))))
+    met = parts.alias("r").join(placed.alias("o"), (F.col("r.cf") == F.col("o.cf")) & (F.col("r.piece") == F.col("o.piece")) & within, "left_semi").select(*names)
+    return over.union(met).distinct()
+
+
 def carried_tombstones(log: DataFrame, segments: list[int], key_runs: bool = False) -> DataFrame:
     """The point and range deletes of these segments that must be copied.
 
@@ -48,10 +70,7 @@ def carried_tombstones(log: DataFrame, segments: list[int], key_runs: bool = Fal
     points = points.join(top, ["cf", "k"], "left").where(F.col("top") <= F.col("lsn")).join(oldest, ["cf", "k"], "left").where(F.col("oldest") < F.col("lsn")).select(*log.columns)
     ranges = own.where(F.col("kind") == RANGE)
     if not key_runs:
-        r, o = ranges.alias("r"), other.alias("o")
-        within = (F.col("r.cf") == F.col("o.cf")) & (F.col("o.lsn") < F.col("r.lsn")) & (F.col("o.k") >= F.col("r.k")) & (F.col("r.range_end").isNull() | (F.col("o.k") < F.col("r.range_end")))
-        few = ranges.limit(4097).count() <= 4096
-        ranges = (F.broadcast(r) if few else r).join(o, within, "inner").select("r.*").dropDuplicates(["cf", "k", "lsn"]).select(*log.columns)
+        ranges = ranges.join(ranges_over_older(ranges, other), ["cf", "k", "lsn"], "left_semi").dropDuplicates(["cf", "k", "lsn"]).select(*log.columns)
     both = points.unionByName(ranges)
     return both.withColumn("relocated", F.lit(True)) if "relocated" in log.columns else both
 
@@ -69,8 +88,8 @@ def clustered(rows: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def key_merge(log: DataFrame, segments: list[int]) -> DataFrame:
     """The newest row of each key over these segments (cf, k, lsn, kind, segment_id), and how many older ones it shadows."""
-    rows = _of(log, segments).where(F.col("kind") != RANGE)
-    best = rows.groupBy("cf", "k").agg(F.max("lsn").alias("lsn"), F.max_by(F.struct("kind", "segment_id"), "lsn").alias("best"), (F.count_distinct("lsn") - 1).alias("shadowed"))
+    each = _of(log, segments).where(F.col("kind") != RANGE).groupBy("cf", "k", "lsn").agg(F.max(F.struct("kind", "segment_id")).alias("best"))
+    best = each.groupBy("cf", "k").agg(F.max("lsn").alias("lsn"), F.max_by("best", "lsn").alias("best"), (F.count("*") - 1).alias("shadowed"))
     return best.select("cf", "k", "lsn", "best.kind", "best.segment_id", "shadowed")
 
 

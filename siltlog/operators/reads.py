@@ -31,7 +31,8 @@ def key_list(spark: SparkSession, keys: Sequence[bytes]) -> DataFrame:
 def get_many(view: DataFrame, cf: str, keys: DataFrame) -> DataFrame:
     """A row for each of keys (pos, k), in any number and with repeats: v, len and lsn are null for a miss. Order by pos.
 
-    Distinct keys are looked up once: a repeated key doesn't repeat the work on the view's side.
+    Distinct keys are looked up once: a repeated key doesn't repeat the work on the view's side. For few keys of a large log, take the
+    view of ``narrowed`` rows, so that only their versions are resolved.
     """
     found = family(view, cf).join(keys.select("k").distinct(), "k", "left_semi").select("k", "lsn", "v", "len")
     return keys.join(found, "k", "left").select("pos", "k", "lsn", "v", "len")

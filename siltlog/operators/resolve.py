@@ -2,6 +2,7 @@
 
 One partial and one final aggregation on (cf, k) pick the newest version; key predicates reach the scan below it, since k is
 a grouping key. Range deletes hide by an anti-join: broadcast while they are few, counted; else by pieces of the keyspace.
+For lookups of many keys, ``narrowed`` puts the keys below the aggregation.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pieces import Pieces
 from .schema import DATA, RANGE, TOMBSTONE
 
-#: Range deletes up to this number are broadcast; the pieces that more of them are dealt to.
-BROADCAST_COVERS, PIECES = 4096, 1024
+#: Range deletes, and keys asked for, up to these numbers are broadcast.
+BROADCAST_COVERS, BROADCAST_KEYS = 4096, 100_000
 CARRIED = ("kind", "v", "len", "segment_id")
 
 
@@ -44,24 +46,24 @@ def _hides(rows: str, covers: str) -> Column:
 def joined_with_covers(rows: DataFrame, covers: DataFrame, how: str, few: bool | None = None) -> DataFrame:
     """rows (cf, k, lsn, ...) semi- or anti-joined with the covers that hide them.
 
-    Beyond BROADCAST_COVERS the keyspace is cut at quantiles of the covers' starts; covers are dealt to the pieces they
-    reach into and rows to theirs, so that the join is an equi-join on (cf, piece), which shuffles and spills.
+    Beyond BROADCAST_COVERS the join is an equi-join on pieces of the keyspace (see ``pieces``), which shuffles and spills: a row
+    meets the covers that end in its piece, and the largest number of those that lie over all of it.
     """
     if few is None:
-        few = covers.limit(BROADCAST_COVERS + 1).count() <= BROADCAST_COVERS
+        n = covers.count()
+        few = n <= BROADCAST_COVERS
+    else:
+        n = 0 if few else covers.count()
     if few:
         return rows.alias("r").join(F.broadcast(covers.alias("c")), _hides("r", "c"), how)
-    sample = covers.select("start").distinct().orderBy(F.xxhash64("start")).limit(8 * PIECES)
-    cuts = sorted(bytes(r[0]) for r in sample.collect())[:: max(1, 8 * PIECES // PIECES)]
-    steps = [1 << b for b in reversed(range(max(1, len(cuts).bit_length())))]
-    held = F.array(*(F.lit(c) for c in cuts))
-
-    def piece(key: Column) -> Column:
-        return F.aggregate(F.lit(steps), F.lit(0), lambda n, s: F.when(F.coalesce(F.get(held, n + s - 1) <= key, F.lit(False)), n + s).otherwise(n))
-
-    last = F.when(F.col("end").isNull(), F.lit(len(cuts))).otherwise(piece(F.col("end")))
-    dealt = covers.withColumn("piece", F.explode(F.sequence(piece(F.col("start")), last)))
-    return rows.withColumn("piece", piece(F.col("k"))).alias("r").join(dealt.alias("c"), (F.col("r.piece") == F.col("c.piece")) & _hides("r", "c"), how).drop("piece")
+    pieces = Pieces(covers, n)
+    partly = covers.withColumn("piece", F.explode(pieces.ends(F.col("start"), F.col("end")))).select("cf", "piece", "start", "end", "lsn")
+    whole = covers.select("cf", "lsn", F.explode(pieces.nodes(F.col("start"), F.col("end"))).alias("node")).groupBy("cf", "node").agg(F.max("lsn").alias("lsn"))
+    leaves = rows.sparkSession.range(len(pieces.cuts) + 1).select(F.col("id").cast("int").alias("piece"))
+    over = leaves.withColumn("node", F.explode(pieces.above(F.col("piece")))).join(whole, "node").groupBy("cf", "piece").agg(F.max("lsn").alias("lsn"))
+    nothing = F.lit(None).cast("binary")
+    dealt = partly.unionByName(over.select("cf", "piece", F.lit(b"").alias("start"), nothing.alias("end"), "lsn"))
+    return rows.withColumn("piece", pieces.of(F.col("k"))).alias("r").join(dealt.alias("c"), (F.col("r.piece") == F.col("c.piece")) & _hides("r", "c"), how).drop("piece")
 
 
 def resolve(log: DataFrame, as_of: int | None = None, carry: tuple[str, ...] = CARRIED, covers: DataFrame | None = None, few: bool | None = None) -> DataFrame:
@@ -74,6 +76,14 @@ def resolve(log: DataFrame, as_of: int | None = None, carry: tuple[str, ...] = C
     return joined_with_covers(best, hidden, "left_anti", few).drop("kind")
 
 
+def narrowed(log: DataFrame, cf: str, keys: DataFrame, n: int) -> DataFrame:
+    """What lookups of ``n`` keys (k) in a family need of the log: the versions of these keys, and the range deletes."""
+    mine = log.where(F.col("cf") == cf)
+    asked = keys.select("k").distinct()
+    points = mine.where(F.col("kind") != RANGE).join(F.broadcast(asked) if n <= BROADCAST_KEYS else asked, "k", "left_semi")
+    return points.select(*log.columns).unionByName(mine.where(F.col("kind") == RANGE))
+
+
 def hidden_by_covers(log: DataFrame, as_of: int | None = None, few: bool | None = None) -> DataFrame:
     """The newest data versions that a range delete hides."""
     best = newest(log, as_of).where(F.col("kind") == DATA)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import be_bytes, pad_or_cut, purge_mark, record_span, shard_of
 from ..operators import accounting, compact, reads, reports
-from ..operators.resolve import hidden_by_covers, newest, resolve, versions
+from ..operators.resolve import hidden_by_covers, narrowed, newest, resolve, versions
 from ..operators.schema import DATA, LOG
 from ..operators.scope import Scope, delete_bounds
 from ..operators.writes import WriteBatch, batch_rows, plan_batch
@@ -90,6 +90,11 @@ def events_live(spark: SparkSession, sf_dir: str, as_of: int | None = None) -> D
     return resolve(fx.events(spark, sf_dir), as_of)
 
 
+def events_of(spark: SparkSession, sf_dir: str, users: list[int]) -> DataFrame:
+    """The live view of some users."""
+    return resolve(narrowed(fx.events(spark, sf_dir), "events", reads.key_list(spark, [be_bytes(u, 8) for u in users]), len(users)))
+
+
 def orders_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(fx.orders(spark, sf_dir))
 
@@ -124,8 +129,8 @@ def asked(s: SparkSession) -> DataFrame:
     return reads.key_list(s, [be_bytes(u, 8) for u in MANY])
 
 
-query("kv_get_many_ordered", f"WITH {live_sql()}, {ASKED} SELECT pos, hex(asked.k) AS key, lsn, hex(v) AS value FROM asked LEFT JOIN live ON asked.k = live.k")(lambda s, d: reads.get_many(events_live(s, d), "events", asked(s)).select("pos", key(), "lsn", F.hex("v").alias("value")))
-query("kv_contains", f"WITH {live_sql()}, {ASKED} SELECT pos, hex(asked.k) AS key, live.k IS NOT NULL AS present FROM asked LEFT JOIN live ON asked.k = live.k")(lambda s, d: reads.contains(events_live(s, d), "events", asked(s)).select("pos", key(), "present"))
+query("kv_get_many_ordered", f"WITH {live_sql()}, {ASKED} SELECT pos, hex(asked.k) AS key, lsn, hex(v) AS value FROM asked LEFT JOIN live ON asked.k = live.k")(lambda s, d: reads.get_many(events_of(s, d, MANY), "events", asked(s)).select("pos", key(), "lsn", F.hex("v").alias("value")))
+query("kv_contains", f"WITH {live_sql()}, {ASKED} SELECT pos, hex(asked.k) AS key, live.k IS NOT NULL AS present FROM asked LEFT JOIN live ON asked.k = live.k")(lambda s, d: reads.contains(events_of(s, d, MANY), "events", asked(s)).select("pos", key(), "present"))
 query("kv_size_of", f"WITH {live_sql()} SELECT hex(k) AS key, len FROM live WHERE k = unhex(lpad('3', 16, '0'))")(lambda s, d: reads.size_of(events_live(s, d), "events", be_bytes(3, 8)).select(key(), "len"))
 
 SLICE = "SELECT hex(unhex(lpad(printf('%X', doc_id), 16, '0'))) AS key, substr(hex(encode(text)), 2 * {0} + 1, 2 * {1}) AS value FROM documents WHERE doc_id = 5"

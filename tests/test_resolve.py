@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from siltlog.operators import compact as C
+from siltlog.operators import pieces as P
+from siltlog.operators import reads
 from siltlog.operators import resolve as R
 from siltlog.operators.schema import LOG
 
@@ -69,3 +73,50 @@ def test_covers_hide_only_older_ones(spark):
     assert got(R.resolve(log)) == {b"a": (3, b"y")}
     assert got(R.resolve(log, 2)) == {}
     assert R.covers_of(log).count() == 1
+
+
+@pytest.mark.parametrize("each", [1, 4])
+def test_many_covers_by_pieces(spark, monkeypatch, each):
+    """Ranges that end in their own piece, and that lie over many."""
+    monkeypatch.setattr(P, "EACH", each)
+    rng = random.Random(each)
+    ops = []
+    for lsn in range(1, 700):
+        k = bytes([rng.randrange(256), rng.randrange(256)])
+        if rng.random() < 0.5:
+            ops.append((lsn, 0, k, None, b"v"))
+        else:
+            wide = rng.choice([1, 3, 40, 300])
+            ops.append((lsn, 2, k, rng.choice([None] * (wide == 300) + [bytes([min(255, k[0] + wide), rng.randrange(256)])]), None))
+    log = make(spark, ops).cache()
+    want = oracle(ops)
+    assert got(R.resolve(log, few=False)) == want and got(R.resolve(log, few=True)) == want
+    covers = R.covers_of(log)
+    pieces = P.Pieces(covers, covers.count())
+    nodes = covers.select(F.size(pieces.nodes(F.col("start"), F.col("end"))).alias("n"), pieces.of(F.col("start")).alias("a"), pieces.last_of(F.col("end")).alias("b")).collect()
+    assert len(pieces.cuts) > 20 and max(r["n"] for r in nodes) <= 2 * pieces.size.bit_length() < max(r["b"] - r["a"] for r in nodes)
+    ranges, data = log.where("kind = 2 and lsn % 3 = 0"), log.where("kind = 0 and lsn % 2 = 0").select("cf", "k", "lsn")
+    older = {(lsn) for lsn, kind, k, end, _ in ops if kind == 2 and lsn % 3 == 0 and any(x == 0 and n % 2 == 0 and n < lsn and j >= k and (end is None or j < end) for n, x, j, _, _ in ops)}
+    for few in (False, True, None):
+        assert {r["lsn"] for r in C.ranges_over_older(ranges, data, few).collect()} == older
+
+
+def test_narrowed_lookups(spark, monkeypatch):
+    ops = random_ops(8)
+    log, want = make(spark, ops), oracle(ops)
+    keys = [bytes([i]) for i in range(20)] + [b"\x03"]
+    for bound in (R.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(R, "BROADCAST_KEYS", bound)
+        asked = reads.key_list(spark, keys)
+        view = R.resolve(R.narrowed(log, "a", asked, len(keys)))
+        assert got(view) == {k: v for k, v in want.items() if k in keys}
+        rows = reads.get_many(view, "a", asked).collect()
+        assert {r["pos"]: r["lsn"] for r in rows} == {i: want.get(k, (None,))[0] for i, k in enumerate(keys)}
+
+
+def test_lookups_meet_their_keys_below_the_aggregation(spark):
+    """Seven keys don't shuffle a family: the semi-join with them lies below the grouping."""
+    view = R.resolve(R.narrowed(make(spark, random_ops(1, 20)), "a", reads.key_list(spark, [b"a", b"b"]), 2), few=True)
+    plan = view._jdf.queryExecution().optimizedPlan().toString()
+    grouped, joined = plan.index("Aggregate [cf"), plan.index("LeftSemi")
+    assert grouped < joined
