@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .errors import StoreError
 from .operators import reports
@@ -34,18 +35,26 @@ def report(store: Store, verb: str, limit: int = 0, target: str = "") -> tuple[r
     log, caveats = store.log(), []
     if not store.registry.families:
         caveats.append(("no column was declared, so none is counted", "--column NAME:ID"))
-    if lost := store.quarantined():
+    lost = store.quarantined()
+    if dead := store.dead_volumes():
+        caveats.append((f"what lay on {', '.join(dead)} isn't counted", None))
+    if lost:
         caveats.append((f"{reports.plural(len(lost), 'file')} beside the listed segments: {', '.join(lost[:5])}", None))
     if verb == "checkpoint":
         return reports.Document("checkpoint", store.checkpoint(target), {}, caveats), 0
     if verb == "verify":
-        rows = store.verify(limit)
-        total = reports.faulty(log).count()
-        return reports.Document("verify", {"faults": total}, {"segments": [r.asDict() for r in rows.collect()]}, caveats), int(total > 0)
+        rows = store.verify()
+        sums = rows.agg(F.count_if(F.col("records") > 0).alias("holding_segments"), F.count_if(F.col("records") == 0).alias("empty_segments"), F.count_if(F.col("faults") > 0).alias("faulted_segments"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "bytes", "faults", "dead"))).first().asDict()
+        shown = rows.limit(limit).collect() if limit else rows.toLocalIterator()
+        return reports.Document("verify", sums | {"not_indexed": len(lost)}, {"segments": [r.asDict() for r in shown]}, caveats), int(sums["faults"] > 0 or bool(lost))
     if verb == "spans":
         return reports.Document("spans", {}, {"columns": [r.asDict() for r in sealed_spans(log).orderBy("cf").collect()]}, caveats), 0
-    tables = {"columns": reports.stat_report(log, store.registry)} if verb == "stat" else {"segments": reports.sequence_report(log, limit)}
-    return reports.document(verb, reports.summary(log), tables, 0, caveats), 0
+    if verb == "stat":
+        return reports.document(verb, reports.summary(log), {"columns": reports.stat_report(log, store.registry)}, 0, caveats), 0
+    made = reports.document(verb, reports.summary(log), {"segments": reports.sequence_report(log, limit), "columns": reports.column_spans(log, store.registry)}, 0, caveats)
+    made.figures = {**made.figures, "floor": store.held_floor}
+    made.tables = {**made.tables, "held": [{"at": at, "holders": n} for at, n in store.holds().items()]}
+    return made, 0
 
 
 def main(arguments: list[str]) -> int:

@@ -128,15 +128,14 @@ def effective_ratio(base: float, tier: str) -> float:
 
 
 def foreground_throttle(used: int, capacity: int, reserve: int) -> float:
-    """A writer's share of the budget: 1.0 until BAND reserves below the ceiling, then in a line down to LEAST_THROTTLE at it. No capacity is no ceiling."""
+    """A writer's share of its pace: whole until BAND reserves below the ceiling, LEAST_THROTTLE at it, in a line between. No capacity is no ceiling."""
     if not capacity:
         return 1.0
-    ceiling = max(0, capacity - reserve)
-    if used >= ceiling:
+    top = max(0, capacity - reserve)
+    bottom = max(0, top - BAND * reserve)
+    if used >= top:
         return LEAST_THROTTLE
-    band = BAND * reserve
-    into = (used - max(0, ceiling - band)) / band if band else 0.0
-    return 1.0 - max(0.0, into) * (1.0 - LEAST_THROTTLE)
+    return 1.0 if used <= bottom or not reserve else 1.0 - (1.0 - LEAST_THROTTLE) * (used - bottom) / (BAND * reserve)
 
 
 def admits(used: int, asked: int, capacity: int, reserve: int) -> bool:
@@ -147,9 +146,8 @@ def draw_volume(free: list[int], kinds: list[str], dead: list[bool], kind: str,
     """The pinned root if it has the watermark free; else of the live roots of this kind the one with most free above the watermark, else with most free; else the first."""
     if pinned is not None and free[pinned] >= watermark:
         return pinned
-    able = [i for i in range(len(free)) if kinds[i] == kind and not dead[i]]
-    afloat = [i for i in able if free[i] >= watermark]
-    return max(afloat or able, key=lambda i: (free[i], -i), default=0)
+    choice = [(bytes_ >= watermark, bytes_, -place) for place, bytes_ in enumerate(free) if kinds[place] == kind and not dead[place]]
+    return -max(choice)[2] if choice else 0
 
 
 def output_kind(source: str, has_capacity: bool, segments_behind: int, segment_bytes: int, demote_after: int | None) -> str:

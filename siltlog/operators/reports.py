@@ -42,19 +42,27 @@ def summary(log: DataFrame) -> DataFrame:
     return one.join(standing(log), F.lit(True))
 
 
+def column_spans(log: DataFrame, registry: Registry) -> DataFrame:
+    """column, id and sealed_segments of each declared family, also of empty ones."""
+    declared = log.sparkSession.createDataFrame([(f.name, f.id) for f in registry.families], "column string, id short")
+    return declared.join(sealed_spans(log).withColumnRenamed("cf", "column"), "column", "left").select("column", "id", F.coalesce("sealed_segments", F.lit(0)).alias("sealed_segments"))
+
+
 def faulty(log: DataFrame) -> DataFrame:
     """Records whose payload doesn't have the checksum that was written with it."""
     return log.where(F.crc32(F.coalesce("v", F.lit(b""))) != F.col("crc"))
 
 
 def verify_report(log: DataFrame, known: list[int], limit: int = 0) -> DataFrame:
-    """segment, indexed, records, bytes, faults and dead: faults first, empty ones last."""
+    """segment, sealed, indexed, records, bytes, faults, dead and the first fault: faults first, empty ones last. Every published segment is sealed."""
     rows = located(log).withColumn("bad", F.crc32(F.coalesce("v", F.lit(b""))) != F.col("crc"))
+    told = F.concat(F.lit("checksum of "), F.col("cf"), F.lit(" "), F.lower(F.hex("k")), F.lit(" at "), F.col("lsn").cast("string"))
     sums = rows.groupBy(F.col("segment_id").alias("segment")).agg(
-        F.count("*").alias("records"), F.sum(F.col("len").cast("long")).alias("bytes"), F.count_if("bad").alias("faults"), F.count_if((F.col("kind") == 0) & ~F.col("is_live")).alias("dead")
-    )
+        F.count("*").alias("records"), F.sum(F.col("len").cast("long")).alias("bytes"), F.count_if("bad").alias("faults"), F.count_if((F.col("kind") == 0) & ~F.col("is_live")).alias("dead"),
+        F.min(F.when(F.col("bad"), F.struct("lsn", told.alias("fault")))).alias("first"),
+    )
     listed = log.sparkSession.createDataFrame([(s,) for s in known], "segment int").withColumn("indexed", F.lit(True))
-    out = sums.join(listed, "segment", "full").select("segment", F.coalesce("indexed", F.lit(False)).alias("indexed"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "bytes", "faults", "dead")))
+    out = sums.join(listed, "segment", "full").select("segment", F.lit(True).alias("sealed"), F.coalesce("indexed", F.lit(False)).alias("indexed"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "bytes", "faults", "dead")), F.col("first.fault").alias("fault"))
     out = out.orderBy(F.col("faults").desc(), (F.col("records") == 0).asc(), "segment")
     return out.limit(limit) if limit else out
 

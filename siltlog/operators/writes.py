@@ -7,6 +7,7 @@ so that the last operation on a key wins and a put after a range delete survives
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,9 +18,6 @@ from ..functions.keys import pad_or_cut
 from .schema import DATA, LOG, RANGE, TOMBSTONE, Registry
 from .scope import delete_bounds, is_empty_range
 
-#: Payloads below this many bytes aren't compressed; larger ones only if that saves an eighth.
-LEAST_CODED = 256
-
 
 @dataclass
 class WriteBatch:
@@ -59,12 +57,15 @@ def plan_batch(batch: WriteBatch, registry: Registry) -> list[tuple]:
     return out
 
 
-def batch_rows(spark: SparkSession, planned: list[tuple], base_lsn: int, batch_id: int, segment_id: int) -> DataFrame:
+def batch_rows(spark: SparkSession, planned: list[tuple], base_lsn: int, batch_id: int, segment_id: int, pack: Callable[[str, bytes], tuple[bytes, int]] | None = None) -> DataFrame:
+    """``pack`` gives what is stored for a family's value, and its codec."""
     rows = []
     for i, (kind, cf, key, more) in enumerate(planned):
-        value = more if kind == DATA else None
-        stored = len(more or b"")  # of a range delete, the bytes of its end
-        rows.append((cf, bytearray(key), base_lsn + i, kind, None if kind != RANGE or more is None else bytearray(more), None if value is None else bytearray(value), stored, 0, zlib.crc32(value or b""), False, batch_id, segment_id))
+        value, codec = (more if kind == DATA else None), 0
+        if value is not None and pack is not None:
+            value, codec = pack(cf, value)
+        stored = len((value if kind == DATA else more) or b"")  # of a range delete, the bytes of its end
+        rows.append((cf, bytearray(key), base_lsn + i, kind, None if kind != RANGE or more is None else bytearray(more), None if value is None else bytearray(value), stored, codec, zlib.crc32(value or b""), False, batch_id, segment_id))
     return spark.createDataFrame(rows, LOG)
 
 
@@ -76,7 +77,7 @@ def log_frame(df: DataFrame) -> DataFrame:
     value = F.when(kind == DATA, F.col("v"))
     stored = F.when(kind == DATA, F.coalesce(F.octet_length("v"), F.lit(0))).when(kind == RANGE, F.coalesce(F.octet_length(end), F.lit(0))).otherwise(0)
     return df.select(
-        F.col("cf"), F.col("k"), F.col("lsn").cast("long").alias("lsn"), kind.alias("kind"), end.alias("range_end"), value.alias("v"), stored.cast("int").alias("len"), F.lit(0).cast("byte").alias("codec"),
+        F.col("cf"), F.col("k"), F.col("lsn").cast("long").alias("lsn"), kind.alias("kind"), end.alias("range_end"), value.alias("v"), stored.cast("int").alias("len"), has("codec", "byte", F.lit(0).cast("byte")).alias("codec"),
         F.crc32(F.coalesce(value, F.lit(b""))).alias("crc"), has("relocated", "boolean", F.lit(False)).alias("relocated"), has("batch_id", "long", F.col("lsn").cast("long")).alias("batch_id"), has("segment_id", "int", F.lit(1)).alias("segment_id"),
     )
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.keys import be_bytes, pad_or_cut, purge_mark, record_span, shard_of
 from ..operators import accounting, compact, reads, reports
 from ..operators.resolve import hidden_by_covers, narrowed, newest, resolve, versions
-from ..operators.schema import DATA, LOG
+from ..operators.schema import DATA
 from ..operators.scope import Scope, delete_bounds
 from ..operators.writes import WriteBatch, batch_rows, plan_batch
+from ..sources.store import Store
 from ..streaming.follower import Follower
 from . import fixtures as fx
 
@@ -313,21 +314,112 @@ query(
     "kv_summary",
     f"WITH {SEGS} SELECT max(max_lsn) + 1 AS sequence, count(*) AS segments, CAST(sum(live) AS BIGINT) AS live_bytes, CAST(sum(dead) AS BIGINT) AS dead_bytes, CAST(sum(held) AS BIGINT) AS tombstone_bytes, CAST(sum(dead) AS DOUBLE) / CAST(sum(dead) + sum(live) AS DOUBLE) AS dead_share, (SELECT count(*) FROM w WHERE kind = 1) AS graves, (SELECT count(*) FROM c) AS covers FROM judged",
 )(lambda s, d: reports.summary(fx.events(s, d)))
-query("kv_verify_checksums", "SELECT CAST(0 AS BIGINT) AS faults")(lambda s, d: reports.faulty(fx.documents(s, d)).agg(F.count("*").alias("faults")))
-query("kv_verify_report", f"WITH {SEGS} SELECT seg AS segment, true AS indexed, count(*) AS records, CAST(sum(n) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS faults, count(*) FILTER (WHERE kind = 0 AND NOT alive) AS dead FROM spans GROUP BY seg")(
+
+
+@query("kv_verify_checksums", "SELECT count(*) AS faults, CAST(min(doc_id) + 1 AS BIGINT) AS first_lsn FROM documents WHERE doc_id % 97 = 5 AND text <> ''")
+def _(s, d):
+    """Payloads damaged by rule, after their checksums were taken: just those are found."""
+    damaged = F.when(F.col("lsn") % 97 == 6, F.substring("v", F.lit(2), F.length("v"))).otherwise(F.col("v"))
+    return reports.faulty(fx.documents(s, d).withColumn("v", damaged)).agg(F.count("*").alias("faults"), F.min("lsn").alias("first_lsn"))
+
+
+query("kv_verify_report", f"WITH {SEGS} SELECT seg AS segment, true AS sealed, true AS indexed, count(*) AS records, CAST(sum(n) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS faults, count(*) FILTER (WHERE kind = 0 AND NOT alive) AS dead, CAST(NULL AS VARCHAR) AS fault FROM spans GROUP BY seg")(
     lambda s, d: reports.verify_report(fx.events(s, d), [r[0] for r in fx.events(s, d).select("segment_id").distinct().collect()])
 )
 
 
+# ---- through a store: segments, manifest, compaction and reads of files
+
+
+def scratch(s: SparkSession) -> str:
+    """A folder of its own below the shared one; a warehouse only where no shared one is named."""
+    return f"{s.conf.get('spark.checkpoint.dir', None) or s.sparkContext.getConf().get('spark.checkpoint.dir') or s.conf.get('spark.sql.warehouse.dir')}/kv-{uuid.uuid4().hex[:12]}"
+
+
+def stored(s: SparkSession, d: str, where: str, batches: int = 3) -> Store:
+    """E, appended to a store in so many batches."""
+    store = Store(s, where, fx.REGISTRY.families)
+    rows = fx.events(s, d).select("cf", "k", "kind", "v", "range_end", "lsn")
+    top = rows.agg(F.max("lsn")).first()[0]
+    for i in range(batches):
+        store.append(rows.where((F.col("lsn") > top * i // batches) & (F.col("lsn") <= top * (i + 1) // batches)), ["lsn"])
+    return store
+
+
+@query("kv_store_view", f"WITH {live_sql()} {SHOWN}")
+def _(s, d):
+    with stored(s, d, scratch(s)) as store:
+        return shown(store.view("events"))
+
+
+@query("kv_store_as_of", f"WITH {live_sql(EARLY)} {SHOWN}")
+def _(s, d):
+    """A held number is read after further writes; compaction leaves what it holds."""
+    with stored(s, d, scratch(s)) as store:
+        return shown(store.view("events", as_of=EARLY))
+
+
+@query("kv_store_compacted", f"WITH {live_sql()} SELECT hex(k) AS key, lsn, hex(v) AS value FROM live")
+def _(s, d):
+    with stored(s, d, scratch(s)) as store:
+        store.compact([s["id"] for s in store.manifest["segments"]][:2])
+        store.drain()
+        return store.view("events").select(key(), "lsn", F.hex("v").alias("value"))
+
+
+@query("kv_store_get_many", f"WITH {live_sql()}, {ASKED} SELECT pos, hex(asked.k) AS key, lsn, hex(v) AS value FROM asked LEFT JOIN live ON asked.k = live.k")
+def _(s, d):
+    with stored(s, d, scratch(s)) as store:
+        keys = [be_bytes(u, 8) for u in MANY]
+        return reads.get_many(store.view_of("events", keys), "events", asked(s)).select("pos", key(), "lsn", F.hex("v").alias("value"))
+
+
+@query("kv_store_totals", f"WITH {live_sql()} SELECT count(*) AS n, CAST(coalesce(sum(len), 0) AS BIGINT) AS bytes, true AS agree, true AS freed FROM live")
+def _(s, d):
+    """Totals after all of the store was rewritten, and whether that gave back space."""
+    with stored(s, d, scratch(s)) as store:
+        before = store.actual_size_bytes()
+        store.compact([s["id"] for s in store.manifest["segments"]])
+        n, bytes_ = store.totals()
+        return s.createDataFrame([(n, bytes_, store.counters_agree("events"), store.actual_size_bytes() < before)], "n long, bytes long, agree boolean, freed boolean")
+
+
+@query("kv_store_range", f"WITH {live_sql()} SELECT hex(k) AS key, lsn, hex(v) AS value FROM live WHERE k >= unhex(lpad(printf('%X', 20), 16, '0')) AND k < unhex(lpad(printf('%X', 60), 16, '0'))")
+def _(s, d):
+    with stored(s, d, scratch(s)) as store:
+        return store.view("events", Scope.range(be_bytes(20, 8), be_bytes(60, 8))).select(key(), "lsn", F.hex("v").alias("value"))
+
+
+@query("kv_store_spans", "SELECT 'events' AS cf, 3 AS segments, count(*) AS records, CAST(max(event_id) + 1 AS BIGINT) AS max_lsn FROM events")
+def _(s, d):
+    """What the manifest says of the segments, held against their files."""
+    where = scratch(s)
+    with stored(s, d, where) as store:
+        reader = Store(s, where, fx.REGISTRY.families, read_only=True)
+        told = reader.rebuild()
+        return s.createDataFrame([("events", len(store.manifest["segments"]), told["records"], told["highest_lsn"])], "cf string, segments int, records long, max_lsn long")
+
+
 @query("kv_follow_stream", f"WITH {live_sql()} {SHOWN}")
 def _(s, d):
-    """The log, written as segments and followed as a stream: the followed view is the batch view."""
-    where = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    root = f"{where}/follow-{uuid.uuid4().hex[:12]}"
-    fx.events(s, d).select(*LOG.fieldNames()).repartitionByRange(4, "lsn").write.parquet(f"{root}/segments/seg-00000001")
-    follower = Follower(s, root, f"{root}/state")
-    follower.follow(f"{root}/offsets").awaitTermination()
-    return shown(follower.view())
+    """The log, appended in batches and followed as a stream of manifests: the followed view is the batch view."""
+    root = scratch(s)
+    with stored(s, d, f"{root}/store", 2) as store:
+        follower = Follower(s, store.root, f"{root}/state")
+        follower.follow(f"{root}/offsets").awaitTermination()
+        return shown(follower.view())
+
+
+@query("kv_follow_compacted", f"WITH {live_sql()} {SHOWN}")
+def _(s, d):
+    """Followed before and after a compaction that retires what was followed first."""
+    root = scratch(s)
+    with stored(s, d, f"{root}/store") as store:
+        follower = Follower(s, store.root, f"{root}/state")
+        follower.follow(f"{root}/offsets").awaitTermination()
+        store.compact([s["id"] for s in store.manifest["segments"]][:2])
+        follower.follow(f"{root}/offsets").awaitTermination()
+        return shown(follower.view())
 
 
 def queries() -> dict[str, Query]:

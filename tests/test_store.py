@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from siltlog.operators.writes import WriteBatch
 from siltlog.sources.store import Store, destroy
 from siltlog.streaming.follower import Follower
 
+ROOT_DIR = Path(__file__).resolve().parent.parent
 FAMILIES = [ColumnFamily("records", 1, 34, 2), ColumnFamily("blobs", 2, 32), ColumnFamily("free", 3, purge_at=0), ColumnFamily("unit", 4, 0)]
 
 
