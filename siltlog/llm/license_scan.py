@@ -53,6 +53,22 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
     ),
+    ("MIT-0", _MIT.replace(", subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")),
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
+    ),
+    (
+        "BSL-1.0",
+        """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
 ]
 # Digests of long public texts, by SPDX id (a text alone doesn't tell "only" from "or later"; the former stands for both):
 # those of Debian's common licences; whole, with the copyright line of its appendix filled in (and thus dropped), and the terms alone,
@@ -108,11 +124,16 @@ WORDINGS = [
 TAGGED = r"SPDX-License-Identifier:\s*(\(*[A-Za-z0-9][A-Za-z0-9.+:-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+:-]*\)*)*)"
 
 
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
 def canonical(text: Column) -> Column:
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, ""), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    # two spaces between words, so that each has its own: neighbours are both replaced
+    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, ""), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+        out = F.replace(out, F.lit(_spaced(a)), F.lit(_spaced(b)))
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
@@ -138,9 +159,9 @@ def scan_licenses(df: DataFrame, id_col: str, text_col: str, licenses: list[tupl
 def _sql(text: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    out = f"' ' || regexp_replace(regexp_replace({lower}, {quote(COPYRIGHT_LINE)}, '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    out = f"' ' || regexp_replace(regexp_replace({lower}, {quote(COPYRIGHT_LINE)}, '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
     for a, b in SPELLINGS:
-        out = f"replace({out}, ' {a} ', ' {b} ')"
+        out = f"replace({out}, '{_spaced(a)}', '{_spaced(b)}')"
     return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g')))"
 
 

@@ -22,6 +22,19 @@ def test_canonical_text(spark):
     assert got == {i: w for i, (_, w) in enumerate(cases)}
 
 
+def test_neighbouring_words_are_both_respelt(spark):
+    rows = [("licence licence Licences sub licence\nfavour, favour", "license license licenses sublicense favor favor"), ("unlicence licenceé", "unlicence licenceé")]
+    df = spark.createDataFrame(rows, "text string, want string")
+    assert [r["c"] for r in df.select(S.canonical(df["text"]).alias("c")).collect()] == [w for _, w in rows]
+
+
+def test_every_known_text_is_found(spark):
+    """Each is planted whole, with another copyright line and in other cases and line breaks."""
+    rows = [(i, f"Copyright (c) 20{i:02d} Some One\n\n{(t.upper() if i % 2 else t).replace(' the ', chr(10) + 'the  ')}\n", name) for i, (name, t) in enumerate(S.LICENSES)]
+    got = {r["doc_id"]: r["license"] for r in S.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, want string"), "doc_id", "text").collect()}
+    assert got == {i: w for i, _, w in rows} and len(set(got.values())) == 9
+
+
 def test_long_texts_and_other_notices(spark):
     read = lambda name: Path("/usr/share/common-licenses", name).read_text()
     apache = read("Apache-2.0")
