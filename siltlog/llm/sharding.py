@@ -1,8 +1,8 @@
 """Shards of near-equal size from sampled splitters.
 
-The sort key is (hash of the group key, hash of the row), so equal texts lie next to each other. A size-weighted
+The sort key is (hash of the text, salted hash of the id, id), so equal texts lie next to each other, wherever in the input they are. A size-weighted
 sample of group hashes gives quantile boundaries; rows are dealt to the ranges between them; ranges that hold more
-than twice their share (a hot group) are subdivided by the hash of the row. Exact byte totals of the ranges, prefix
+than twice their share (a hot group) are subdivided by a salted hash of id and text. Exact byte totals of the ranges, prefix
 sums over them and running sums inside each then put every row at its byte offset in key order, and shard ``k`` of
 ``n`` is the part of that order from ``k/n`` to ``(k+1)/n`` of all bytes: sizes differ by a row's size at most.
 Only ids, sizes and hashes are shuffled (about 40 bytes a row); texts stay where they are.
@@ -56,11 +56,11 @@ def shard_rows(df: DataFrame, id_col: str, text_col: str, shards: int, scratch:
     sums = dealt.groupBy("range").agg(F.sum("size").alias("held"))
     mean = F.sum("held").over(Window.partitionBy()) / F.lit(ranges)
     parts = sums.select("range", F.when(F.col("held") > 2 * mean, F.ceil(F.col("held") / mean)).otherwise(1).alias("subs"))
-    dealt = dealt.join(F.broadcast(parts), "range").withColumn("sub", F.pmod(F.xxhash64("row"), "subs"))
+    dealt = dealt.join(F.broadcast(parts), "range").withColumn("sub", F.pmod(F.xxhash64(id_col, "h"), "subs"))
     order = Window.orderBy("range", "sub").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("range", "sub").agg(F.sum("size").alias("held"), F.count("*").alias("n"))
     bases = bases.select("range", "sub", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("range", "sub").orderBy("h", "row")
+    inside = Window.partitionBy("range", "sub").orderBy("h", F.xxhash64(id_col, F.lit(7)), id_col, "row")
     middle = F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.expr("size div 2")
     placed = dealt.join(F.broadcast(bases), ["range", "sub"]).select(
         id_col, "size", "text_crc32", (F.col("before") + F.row_number().over(inside) - 1).alias("place"), F.least(F.expr(f"{shards - 1}L"), F.floor((middle - 1) * shards / F.col("total"))).cast("int").alias("shard")

@@ -48,3 +48,23 @@ def test_range_search(spark):
     cuts = [3, 7, 8, 20, 21]
     got = {r[0]: r[1] for r in spark.range(30).select("id", H.range_of(F.col("id"), cuts)).collect()}
     assert got == {i: sum(c <= i for c in cuts) for i in range(30)}
+
+
+def test_against_brute_force(spark):
+    """Without a hot group, the order is that of the hashes; places, shards and slots follow from plain running sums, whatever the files."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    texts = [f"{rng.random()} " * rng.randrange(1, 40) for _ in range(500)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = df.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 11).alias("h"), F.xxhash64("doc_id", F.lit(7)).alias("salt")).collect()
+    order = sorted(keyed, key=lambda r: (r["h"], r["salt"], r["doc_id"]))
+    total, at, want, slots = sum(len((t or "").encode()) + 1 for t in texts), 0, {}, {}
+    for r in order:
+        size = len((r["text"] or "").encode()) + 1
+        shard = min(4, (at + size - size // 2 - 1) * 5 // total)
+        want[r["doc_id"]] = (shard, slots.get(shard, 0))
+        slots[shard] = slots.get(shard, 0) + 1
+        at += size
+    for given in (df, df.orderBy(F.desc("doc_id")).repartition(7)):
+        assert {r["doc_id"]: (r["shard"], r["slot"]) for r in H.shard_documents(spark, given, 5).collect()} == want
