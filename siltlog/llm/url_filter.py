@@ -1,7 +1,8 @@
 """URL allow/block rules in a trie over reversed host labels and path segments.
 
 A rule is (verdict, host, path). It fits its host and all subdomains, when the url's path starts with the rule's
-path. The rule with the most host labels wins, then the one with the longest path; of equal rules, block.
+path. The longest wins, as the trie has it: the rule with the most host labels, and of these the one with the longest path (so
+that a rule for a subdomain goes before one for its domain, however long that one's path is); of equal rules, block.
 An url without a fitting rule gets the default verdict.
 
 Cases: a null url, or one without ``://``, has an empty host and path and gets the default; empty labels are labels;
@@ -61,6 +62,8 @@ class UrlTrie:
             for segment in whole:
                 node = node.setdefault("kids", {}).setdefault(segment, {})
             self._put(node.setdefault("tails", {}), tail, verdict, host + path)
+            if len(tail) not in node.setdefault("sizes", []):
+                node["sizes"] = sorted([*node["sizes"], len(tail)], reverse=True)
 
     @staticmethod
     def _put(at: dict, key: str, verdict: str, name: str) -> None:
@@ -77,7 +80,7 @@ class UrlTrie:
         while node is not None:
             tails = node.get("tails")
             if tails:
-                for size in sorted({len(t) for t in tails}, reverse=True):
+                for size in node["sizes"]:
                     if (hit := tails.get(segments[k][:size])) and len(segments[k]) >= size:
                         found = hit
                         break
