@@ -64,3 +64,33 @@ def test_long_texts_are_read_whole():
     a, b = (" ".join(SYLLABLES[x] * 200) for x in ("en", "de"))
     model = L.Classifier({"en": (a[:2000]).encode(), "de": b[:2000].encode()})
     assert model.judge("the and " + b * 5)[0] == "de" and model.judge(b[:3000] + a * 5)[0] == "en"
+
+
+def test_against_brute_force(spark):
+    """Every text with every dictionary, by a compressor made anew for each piece."""
+    import re
+
+    import zstandard
+
+    df = spark.createDataFrame(sample(90, 7) + [(200, "", None), (201, "12", None), (202, None, None)], "doc_id long, text string, lang string")
+    model = L.learn(df.where(~L.held_out("doc_id")), "doc_id", "text", "lang", sample_docs=5, sample_chars=900, dict_bytes=4096)
+    assert all(len(d) <= 4096 for d in model.values())
+
+    def size(text, dictionary):
+        raw, n = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), 0
+        how = zstandard.ZstdCompressionParameters.from_level(L.LEVEL, dict_size=len(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw.precompute_compress(compression_params=how)
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode()
+        while data:
+            n, data = n + len(zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress(data[: L.CHUNK])), data[L.CHUNK :]
+        return n
+
+    got = {r["doc_id"]: r for r in L.identify_languages(df, model, "doc_id", "text").collect()}
+    for r in df.collect():
+        one = got[r["doc_id"]]
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert (one["lang_pred"], one["score"], one["rejected"]) == ("und", 0.0, True)
+            continue
+        sizes = [(size(r["text"], d), at, lang) for at, (lang, d) in enumerate(model.items())]
+        (least, _, lang), (second, _, _) = sorted(sizes)[:2]
+        assert one["lang_pred"] == lang and one["score"] == 1 - least / second and one["rejected"] == (one["score"] < L.MIN_MARGIN)
