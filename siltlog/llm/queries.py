@@ -104,6 +104,25 @@ def oracle_sql() -> dict[str, str]:
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
             FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+        "op9_jaccard_join": r"""
+            WITH RECURSIVE w AS (
+              SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+            sets AS (
+              SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+            counted AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(0))) AS d, s FROM sets),
+            class AS (SELECT min(doc_id) AS c, any_value(n) AS n, any_value(s) AS s, d FROM counted WHERE n > 0 GROUP BY d),
+            x AS (SELECT c, n, unnest(s) AS s FROM class),
+            rare AS (SELECT s FROM x GROUP BY s HAVING count(*) > 1),
+            y AS (SELECT c, n, hash(s) AS s FROM x WHERE s IN (SELECT s FROM rare)),
+            links AS (
+              SELECT a.c AS a, b.c AS b FROM y a JOIN y b ON a.s = b.s AND a.c < b.c AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+              GROUP BY a.c, b.c, a.n, b.n HAVING 175 * count(*) >= 75 * (a.n + b.n)),
+            both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+            reach(c, r) AS (SELECT c, c FROM class UNION SELECT reach.c, both_.b FROM reach JOIN both_ ON reach.r = both_.a),
+            ends AS (SELECT c, min(r) AS component FROM reach GROUP BY c)
+            SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id
+            FROM counted LEFT JOIN (SELECT d, component FROM class JOIN ends USING (c)) k ON counted.d = k.d AND counted.n > 0""",
         "op8_url_filter": r"""
             WITH p AS (
               SELECT page_id,
