@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again as the next
 stage's docs. All but the last return the columns of documents; the last returns the pieces of packed sequences.
-Null texts and texts without a letter have no language and go in the first stage; an empty table stays empty.
+Null texts and texts without a letter have no language and go in the first stage; an empty table stays empty. Repeated rows are copies, of
+which one stays; rows with a null id all stay; texts of any length are judged, scanned and packed whole; further columns pass through whatever
+their names are, until the last stage drops them.
 """
 
 from __future__ import annotations
