@@ -1,28 +1,39 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text becomes words: the meta symbol for spaces, which no piece has after another character, begins each of them, so that no
-piece reaches over a word's end. Each distinct word's substrings of bounded length are exploded and equi-joined to
-the piece table; what is found are the word's edges, grouped by word; a higher-order aggregate folds them. For a unigram
-model the fold is Viterbi. For a BPE model Viterbi over scores isn't what the model means: there, the fold
-merges, step by step, the neighbours whose joint edge has the highest score. Characters without a piece become byte pieces.
-Texts then get their words' ids by a join on words: FREQUENT words are broadcast, the others shuffled, none of which is hot.
-
-Cases: null and empty texts have no ids; words of any length are folded whole; repeated rows are encoded each; an empty
+A text becomes segments: the meta symbol for spaces begins a word, as no piece has it after another character, and a word is cut
+between any two characters that no piece has next to each other. So no piece reaches over a segment's end. Each distinct segment's
+substrings of bounded length are exploded and equi-joined to the piece table; what is found are its edges, grouped by segment; higher-order
+aggregates fold them. Viterbi gives the best path over scores, its ids and its score. For a unigram model that is the
+encoding. For a BPE model it isn't what the model means: there, a second fold merges, step by step, the neighbours whose joint
+edge has the highest score, and gives the ids; the best path stands beside them. Characters without a piece become byte pieces.
+Segments of more than FOLDED characters (long runs of letters without a space) are folded by a heap and a running best,
+in time that follows their length, instead of by aggregates, whose states would be copied at each step.
+Texts then get their segments' codes by a join: FREQUENT ones are broadcast, the others shuffled, none of which is hot.
+
+Cases: null and empty texts have no ids; segments of any length are folded whole; repeated rows are encoded each; an empty
 table gives an empty result; other columns are dropped by name before any are added.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import Scratch
+from .shared import Memo, Scratch, tidy
 
 SPACE = "▁"
-#: Words whose ids are broadcast: a fixed number; their codes are some 10 MB.
-FREQUENT = 50_000
+#: Segments whose codes are broadcast: a fixed number; they are some 20 MB.
+FREQUENT = 100_000
+#: The longest segment that is folded by aggregates.
+FOLDED = 64
+_CACHE = 100_000
+CODES = "ids array<int>, best array<int>, score double"
 
 
 @dataclass(frozen=True)
@@ -53,14 +64,40 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(rows, next((i for i in ids if sp.is_byte(i)), None), sp.unk_id(), all(s == round(s) for s in scores))
 
 
-def words_of(text: Column, pieces: Pieces) -> Column:
-    """A text's words, each with the spaces before it."""
-    marked = F.replace(F.concat(F.lit(SPACE if pieces.dummy_prefix else ""), text), F.lit(" "), F.lit(SPACE))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"({SPACE}*[^{SPACE}]+|{SPACE}+)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+class Cutter:
+    """The segments of a text."""
+
+    def __init__(self, pieces: Pieces):
+        self.joined = frozenset(p[i : i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1))
+        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.prefix = SPACE if pieces.dummy_prefix else ""
+        self.known = Memo(self._cut, _CACHE)
+
+    def _cut(self, word: str) -> list[str]:
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+    def __call__(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        return [x for word in self.words(self.prefix + text.replace(" ", SPACE)) for x in self.known[word]]
+
+
+def segmented(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """rows, whose last column is a text, with its segments, ``_words``, in its place."""
+    kept = rows.schema.fields[:-1]
+
+    def cut(batches):
+        cutter = Cutter(pieces)
+        for batch in batches:
+            words = [cutter(t) for t in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words, pa.list_(pa.string()))], names=[*(f.name for f in kept), "_words"])
+
+    return rows.mapInArrow(tidy(cut), T.StructType([*kept, T.StructField("_words", T.ArrayType(T.StringType()))]))
 
 
 def lattice(words: DataFrame, pieces: Pieces, spark: SparkSession) -> DataFrame:
-    """word and its edges: a map from start * (longest + 1) + length to (score, id)."""
+    """word, of ``words`` dealt by it, and its edges: a map from start * (longest + 1) + length to (score, id)."""
     table = spark.createDataFrame(list(pieces.rows), "piece string, id int, score double")
     wide = pieces.longest + 1
     starts = F.sequence(F.lit(0), F.length("word") - 1)
@@ -102,29 +139,41 @@ def merge_fold(pieces: Pieces) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), state(F.sequence(F.lit(0), n), first), step)["cuts"]
 
 
-def viterbi_fold(pieces: Pieces, unknown_score: float) -> Column:
-    """The ends of the pieces of the best path, from 0; a character without a piece costs unknown_score."""
+def with_ways(rows: DataFrame, pieces: Pieces, unknown_score: float) -> DataFrame:
+    """rows of a lattice with their ways: start, end and score of each edge, and of each character without a piece, which costs unknown_score."""
     wide = pieces.longest + 1
+    way = lambda a, b, score: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), score.alias("score"))
+    known = F.transform(F.map_entries("edges"), lambda e: way(F.floor(e["key"] / wide), F.floor(e["key"] / wide) + e["key"] % wide, e["value"]["score"]))
+    bare = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: ~F.map_contains_key("edges", i * wide + 1))
+    return rows.withColumn("ways", F.concat(known, F.transform(bare, lambda i: way(i, i + 1, F.lit(float(unknown_score))))))
+
+
+def viterbi_fold() -> Column:
+    """score of the best path and the ends of its pieces (cuts), from 0, over the ``ways`` of ``with_ways``."""
     state = lambda best, back: F.struct(best.alias("best"), back.alias("back"))
 
     def step(s: Column, end: Column) -> Column:
-        starts = F.sequence(F.greatest(F.lit(0), end - pieces.longest), end - 1)
-        ways = F.transform(starts, lambda a: F.struct((F.get(s["best"], a) + F.coalesce(_edge(a, end, wide)["score"], F.when(end - a == 1, F.lit(unknown_score)))).alias("s"), (-a).alias("a")))
-        top = F.array_max(F.filter(ways, lambda w: w["s"].isNotNull()))
-        return state(F.array_append(s["best"], top["s"]), F.array_append(s["back"], -top["a"]))
+        ways = F.transform(F.filter("ways", lambda w: w["end"] == end), lambda w: F.struct((F.get(s["best"], w["start"]) + w["score"]).alias("s"), (-w["start"]).alias("a")))
+        # an array of one element binds the best way, so that it is sought once
+        return F.get(F.transform(F.array(F.array_max(ways)), lambda t: state(F.array_append(s["best"], t["s"]), F.array_append(s["back"], -t["a"]))), F.lit(0))
 
     n = F.length("word")
-    done = F.aggregate(F.sequence(F.lit(1), n), state(F.array(F.lit(0.0)), F.array(F.lit(0))), step)
-    # from the end back to 0: each step puts the start of the last piece before what is known
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda cuts, _: F.when(F.get(cuts, F.lit(0)) == 0, cuts).otherwise(F.array_prepend(cuts, F.get(done["back"], F.get(cuts, F.lit(0))))))
+    first = state(F.array(F.lit(0.0)), F.array(F.lit(0)))
+
+    def finish(done: Column) -> Column:
+        # from the end back to 0: each step puts the start of the last piece before what is known
+        cuts = F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda cuts, _: F.when(F.get(cuts, F.lit(0)) == 0, cuts).otherwise(F.array_prepend(cuts, F.get(done["back"], F.get(cuts, F.lit(0))))))
+        return F.struct(F.get(done["best"], n).alias("score"), cuts.alias("cuts"))
 
+    return F.aggregate(F.sequence(F.lit(1), n), first, step, finish)
 
-def _ids(pieces: Pieces) -> Column:
+
+def _ids(pieces: Pieces, cuts: str) -> Column:
     """ids of the pieces between ``cuts``, with byte pieces for characters that have none."""
     wide = pieces.longest + 1
 
     def of(j: Column) -> Column:
-        a, b = F.get("cuts", j), F.get("cuts", j + 1)
+        a, b = F.get(cuts, j), F.get(cuts, j + 1)
         data = F.hex(F.encode(F.substring(F.col("word"), a + 1, b - a), "utf-8"))
         if pieces.byte_base is None:
             other = F.array(F.lit(pieces.unknown_id))
@@ -133,30 +182,115 @@ def _ids(pieces: Pieces) -> Column:
         found = _edge(a, b, wide)["id"]
         return F.when(found.isNotNull(), F.array(found)).otherwise(other)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), of))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), of))
+
+
+class LongFold:
+    """The same two folds for one long segment, in time n log n and n."""
+
+    def __init__(self, pieces: Pieces, unknown_score: float):
+        self.pieces, self.unknown, self.longest = pieces, unknown_score, pieces.longest
+        self.table = {p: (s, i) for p, i, s in pieces.rows}
+
+    def _coded(self, parts: list[str]) -> list[int]:
+        out = []
+        for part in parts:
+            if part in self.table:
+                out.append(self.table[part][1])
+            else:
+                out += [self.pieces.unknown_id] if self.pieces.byte_base is None else [self.pieces.byte_base + b for b in part.encode()]
+        return out
+
+    def merged(self, word: str) -> list[int]:
+        """Neighbours are merged, the highest score first, the leftmost of equal ones."""
+        ends, after, before = list(range(1, len(word) + 1)), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            """The pair of the part that begins at i and the one after it."""
+            if 0 <= i and after[i] < len(word) and (hit := self.table.get(word[i : ends[after[i]]])):
+                heapq.heappush(heap, (-hit[0], i, ends[after[i]]))
+
+        for i in range(len(word) - 1):
+            offer(i)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            # parts that have changed since: i was merged away, or it or its neighbour ends elsewhere
+            if ends[i] < 0 or after[i] >= len(word) or ends[after[i]] != end or word[i:end] not in self.table:
+                continue
+            gone = after[i]
+            ends[i], after[i], ends[gone] = end, after[gone], -1
+            if after[i] < len(word):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        parts, i = [], 0
+        while i < len(word):
+            parts.append(word[i : ends[i]])
+            i = after[i]
+        return self._coded(parts)
+
+    def best(self, word: str) -> tuple[list[int], float]:
+        score, back = [0.0], [0]
+        for end in range(1, len(word) + 1):
+            ways = []
+            for a in range(max(0, end - self.longest), end):
+                hit = self.table.get(word[a:end])
+                if hit or end - a == 1:
+                    ways.append((score[a] + (hit[0] if hit else self.unknown), -a))
+            top = max(ways)
+            score.append(top[0])
+            back.append(-top[1])
+        parts, end = [], len(word)
+        while end:
+            parts.append(word[back[end] : end])
+            end = back[end]
+        return self._coded(parts[::-1]), score[-1]
+
+    def __call__(self, word: str) -> tuple[list[int], list[int], float]:
+        best, score = self.best(word)
+        return self.merged(word) if self.pieces.is_bpe else best, best, score
 
 
 def encode_words(words: DataFrame, pieces: Pieces, unknown_score: float | None = None) -> DataFrame:
-    """word and ids of distinct, not empty words."""
-    rows = lattice(words, pieces, words.sparkSession)
+    """word, ids, best (the ids of the best path) and its score, of distinct, not empty segments."""
     worst = min((s for _, _, s in pieces.rows), default=0.0) - 10 if unknown_score is None else unknown_score
-    return rows.withColumn("cuts", merge_fold(pieces) if pieces.is_bpe else viterbi_fold(pieces, worst)).select("word", _ids(pieces).alias("ids"))
+    words = words.select("word").repartition("word")  # the lattice is grouped where it is made
+    rows = with_ways(lattice(words.where(F.length("word") <= FOLDED), pieces, words.sparkSession), pieces, worst)
+    rows = rows.withColumn("path", viterbi_fold()).withColumn("best_cuts", F.col("path.cuts"))
+    best = _ids(pieces, "best_cuts")
+    if pieces.is_bpe:
+        rows = rows.withColumn("cuts", merge_fold(pieces)).select("word", _ids(pieces, "cuts").alias("ids"), best.alias("best"), F.col("path.score").alias("score"))
+    else:
+        rows = rows.select("word", best.alias("ids"), best.alias("best"), F.col("path.score").alias("score"))
+
+    def fold(batches):
+        by = LongFold(pieces, worst)
+        for batch in batches:
+            found = [by(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64())))], names=["word", "ids", "best", "score"])
+
+    return rows.unionByName(words.where(F.length("word") > FOLDED).mapInArrow(tidy(fold), f"word string, {CODES}"))
 
 
 def encode_texts(df: DataFrame, keys: list[str], text_col: str, pieces: Pieces, scratch: Scratch) -> DataFrame:
-    """The columns ``keys`` of df, n_ids and ids of each row."""
-    rows = df.select(*keys, F.col(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    each = scratch.keep(rows.select(*keys, "_row", words_of(F.col("_text"), pieces).alias("_words")), "words")
+    """The columns ``keys`` of df, n_ids and ids of each row, best_ids (of the best path) and best_score."""
+    rows = df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
+    each = scratch.keep(segmented(rows, pieces), "words", "zstd")
     counts = scratch.keep(each.select(F.explode("_words").alias("word")).groupBy("word").count(), "counts")
-    codes = scratch.keep(encode_words(counts.select("word"), pieces), "codes")
+    codes = scratch.keep(encode_words(counts, pieces), "codes", "zstd")
     often = scratch.keep(counts.orderBy(F.col("count").desc(), "word").limit(FREQUENT).select("word").join(codes, "word"), "often")
     met = each.select("_row", F.posexplode("_words").alias("at", "word")).join(F.broadcast(often), "word", "left")
-    known = met.where("ids is not null").select("_row", "at", "ids")
-    # a word that isn't broadcast has at most a FREQUENT-th of all occurrences
-    others = met.where("ids is null").drop("ids").join(codes, "word").select("_row", "at", "ids")
-    joined = known.unionAll(others).groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    out = each.select(*keys, "_row").join(joined, "_row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    return out.select(*keys, F.size("ids").alias("n_ids"), "ids")
+    known = met.where("ids is not null").select("_row", "at", "ids", "best", "score")
+    # a segment that isn't broadcast has at most a FREQUENT-th of all occurrences
+    others = met.where("ids is null").select("_row", "at", "word").join(codes, "word").select("_row", "at", "ids", "best", "score")
+    parts = F.array_sort(F.collect_list(F.struct("at", "ids", "best", "score")))
+    joined = known.unionAll(others).groupBy("_row").agg(parts.alias("p"))
+    joined = joined.select("_row", F.flatten(F.col("p.ids")).alias("ids"), F.flatten(F.col("p.best")).alias("best"), F.aggregate(F.col("p.score"), F.lit(0.0), lambda a, x: a + x).alias("score"))
+    out = each.select(*keys, "_row").join(joined, "_row", "left")
+    none = F.array().cast("array<int>")
+    ids = F.coalesce("ids", none)
+    return out.select(*keys, F.size(ids).alias("n_ids"), ids.alias("ids"), F.coalesce("best", none).alias("best_ids"), F.coalesce("score", F.lit(0.0)).alias("best_score"))
 
 
 def decode_ids(df: DataFrame, keys: list[str], ids_col: str, pieces: Pieces) -> DataFrame:

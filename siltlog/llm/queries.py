@@ -52,11 +52,12 @@ def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, or conv_id and turn, n_ids, ids and decoded_sha256, the digest of the text that the ids decode to, of documents and conversations."""
+    """doc_id, or conv_id and turn, n_ids, ids, best_ids and best_score (of the best path) and decoded_sha256, the digest of the text that the ids decode to, of documents and conversations."""
     keys, pieces = ["doc_id", "conv_id", "turn"], load_pieces(tokenizer_path("piece_bpe_32k.model"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), allowMissingColumns=True)
     encoded = encode_texts(texts, keys, "text", pieces, Scratch(spark, "pieces"))
-    return decode_ids(encoded, [*keys, "n_ids", "ids"], "ids", pieces).select(*keys, "n_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    kept = [*keys, "n_ids", "ids", "best_ids", "best_score"]
+    return decode_ids(encoded, kept, "ids", pieces).select(*kept, F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,45 @@ def test_viterbi_against_every_path(spark):
     words = sorted({"".join(rng.choices("abcd", k=rng.randrange(1, 12))) for _ in range(80)})
     got = {r["word"]: r["ids"] for r in P.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces, -50.0).collect()}
     assert got == {w: [ids.get(p, 0) for p in best(w)[1]] for w in words}
+
+
+def test_best_paths_of_the_bpe_model(spark, model):
+    """The path that the query gives has the score it says, spells the text, and no path that merges find scores higher."""
+    pieces, sp = model
+    texts = ["The quick brown foxes' unbelievable internationalization", "naïve café ☃ 日本語 12,345.67", "x" * 40, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {i: s for _, i, s in pieces.rows}
+    worst = min(score.values()) - 10
+    for r in P.encode_texts(df, ["doc_id"], "text", pieces, Scratch(spark, "t")).collect():
+        text = texts[r["doc_id"]]
+        assert sp.decode(r["best_ids"]) == text and r["ids"] == sp.encode(text)
+        unknown = sum(1 for c in text if c != " " and not sp.piece_to_id(c) and c not in {p for p, _, _ in pieces.rows})
+        assert r["best_score"] == sum(score.get(i, 0) for i in r["best_ids"]) + unknown * worst
+        assert r["best_score"] >= sum(score.get(i, 0) for i in r["ids"]) + unknown * worst
+
+
+def test_segments_are_what_no_piece_joins(model):
+    pieces, _ = model
+    cut = P.Cutter(pieces)
+    for text in SAMPLES + [LONG[:2000]]:
+        parts = cut(text)
+        assert "".join(parts) == ("▁" + text.replace(" ", "▁") if text else "")
+        whole = "".join(parts)
+        at = 0
+        for x in parts[:-1]:
+            at += len(x)
+            assert not any(whole[a : a + n] in {p for p, _, _ in pieces.rows if len(p) == n} for n in (2, 3, 4) for a in range(max(0, at - n + 1), at) if a + n > at)
+
+
+def test_long_runs_of_letters(spark, model):
+    """100,000 characters without a space, by the heap; and the heap and the running best equal the folds by aggregates."""
+    pieces, sp = model
+    rng = random.Random(3)
+    runs = ["".join(rng.choices("etaoinshrdlu", k=100_000)), "a" * 100_000, "日本語" * 3000]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in P.encode_texts(df, ["doc_id"], "text", pieces, Scratch(spark, "t")).collect()}
+    assert got == {i: sp.encode(t) for i, t in enumerate(runs)}
+    words = sorted({"".join(rng.choices("etaoin☃é", k=rng.randrange(1, 30))) for _ in range(60)})
+    by = P.LongFold(pieces, -50.0)
+    rows = P.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces, -50.0).collect()
+    assert {r["word"]: (r["ids"], r["best"], r["score"]) for r in rows} == {w: by(w) for w in words}
