@@ -6,12 +6,15 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import math
 import shutil
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Id lists up to this many rows may be broadcast (16 bytes a row); longer ones are shuffled.
@@ -107,11 +110,41 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi- or anti-join with a materialised list of ids: broadcast if its counted size is bounded, else shuffled by hash."""
-    return df.join(F.broadcast(ids) if small(ids) else ids.hint("shuffle_hash"), on, how)
+def _id_bitmap(ids: DataFrame, on: str) -> tuple[np.ndarray, int]:
+    """A bitmap of 16 bits an id, 2**27 at most (16 MB), by the highest bits of the ids' hashes; and how many bits of a hash it takes."""
+    bits = min(27, max(10, math.ceil(math.log2(16 * max(1, ids.count())))))
+
+    def mark(batches):
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(seen, bitorder="little").tobytes(), 1)], pa.binary())], names=["bits"])
 
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for (data,) in ids.select(F.xxhash64(on)).mapInArrow(tidy(mark), "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(data), np.uint8)
+    return out, bits
 
-def ascii_lower(c: Column) -> Column:
-    """A-Z only, as every engine does it alike."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+def keep_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Semi- or anti-join with a materialised list of ids: broadcast if its counted size is bounded.
+
+    Else only those rows of df are shuffled that a broadcast bitmap of the ids' hashes can't rule out: the rows that are listed, and
+    some sixteenth of the others, as long as the bitmap has room; beyond, more of them, with the same result.
+    """
+    if small(ids):
+        return df.join(F.broadcast(ids), on, how)
+    found, bits = _id_bitmap(ids, on)
+    seen, names = df.sparkSession.sparkContext.broadcast(found), df.columns
+
+    def sifted(listed: bool) -> DataFrame:
+        def sift(batches):
+            for batch in batches:
+                at = batch.column(len(names)).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+                hit = (seen.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit == listed)) for c in batch.columns[:-1]], names=names)
+
+        return df.withColumn("_hash_of_id", F.xxhash64(on)).mapInArrow(tidy(sift), df.schema)
+
+    met = sifted(True).join(ids.hint("shuffle_hash"), on, how).select(names)
+    return met if how == "left_semi" else met.unionAll(sifted(False))
