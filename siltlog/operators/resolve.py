@@ -7,14 +7,16 @@ For lookups of many keys, ``narrowed`` puts the keys below the aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pieces import Pieces
 from .schema import DATA, RANGE, TOMBSTONE
 
-#: Range deletes, and keys asked for, up to these numbers are broadcast.
-BROADCAST_COVERS, BROADCAST_KEYS = 4096, 100_000
+#: Range deletes, and keys asked for, up to these numbers are broadcast; keys up to LISTED_KEYS are written into the plan.
+BROADCAST_COVERS, BROADCAST_KEYS, LISTED_KEYS = 4096, 100_000, 256
 CARRIED = ("kind", "v", "len", "segment_id")
 
 
@@ -76,11 +78,18 @@ def resolve(log: DataFrame, as_of: int | None = None, carry: tuple[str, ...] = C
     return joined_with_covers(best, hidden, "left_anti", few).drop("kind")
 
 
-def narrowed(log: DataFrame, cf: str, keys: DataFrame, n: int) -> DataFrame:
-    """What lookups of ``n`` keys (k) in a family need of the log: the versions of these keys, and the range deletes."""
+def narrowed(log: DataFrame, cf: str, keys: DataFrame | Sequence[bytes], n: int | None = None) -> DataFrame:
+    """What lookups of keys (a list, or a frame k of ``n``) in a family need of the log: the versions of these keys, and the range deletes.
+
+    Up to LISTED_KEYS listed ones are a predicate that reaches the scan; more are semi-joined, by a broadcast while they are few.
+    """
     mine = log.where(F.col("cf") == cf)
+    if not isinstance(keys, DataFrame):
+        if len(keys) <= LISTED_KEYS:
+            return mine.where((F.col("kind") == RANGE) | F.col("k").isin([bytearray(k) for k in dict.fromkeys(keys)]))
+        keys, n = log.sparkSession.createDataFrame([(bytearray(k),) for k in keys], "k binary"), len(keys)
     asked = keys.select("k").distinct()
-    points = mine.where(F.col("kind") != RANGE).join(F.broadcast(asked) if n <= BROADCAST_KEYS else asked, "k", "left_semi")
+    points = mine.where(F.col("kind") != RANGE).join(F.broadcast(asked) if n is not None and n <= BROADCAST_KEYS else asked, "k", "left_semi")
     return points.select(*log.columns).unionByName(mine.where(F.col("kind") == RANGE))
 
 

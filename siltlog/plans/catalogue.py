@@ -93,7 +93,7 @@ def events_live(spark: SparkSession, sf_dir: str, as_of: int | None = None) -> D
 
 def events_of(spark: SparkSession, sf_dir: str, users: list[int]) -> DataFrame:
     """The live view of some users."""
-    return resolve(narrowed(fx.events(spark, sf_dir), "events", reads.key_list(spark, [be_bytes(u, 8) for u in users]), len(users)))
+    return resolve(narrowed(fx.events(spark, sf_dir), "events", [be_bytes(u, 8) for u in users]))
 
 
 def orders_live(spark: SparkSession, sf_dir: str) -> DataFrame:

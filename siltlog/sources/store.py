@@ -293,7 +293,7 @@ class Store:
     def view_of(self, cf: str, keys: Sequence[bytes], as_of: int | None = None) -> DataFrame:
         """The live rows of these keys: only segments that reach over them are opened, and only their versions resolved."""
         scope = Scope(min(keys), max(keys), True) if keys else Scope(b"", b"")
-        log = narrowed(self.log(cf, scope, as_of).where((F.col("kind") == RANGE) | scope(F.col("k"))), cf, reads.key_list(self.spark, keys), len(keys))
+        log = narrowed(self.log(cf, scope, as_of).where((F.col("kind") == RANGE) | scope(F.col("k"))), cf, keys)
         return self._opened(cf, resolve(log, as_of, self._carried(cf), few=self._few()))
 
     def get(self, cf: str, key: bytes, as_of: int | None = None) -> bytes | None:

@@ -108,6 +108,9 @@ def test_narrowed_lookups(spark, monkeypatch):
     for bound in (R.BROADCAST_KEYS, 0):
         monkeypatch.setattr(R, "BROADCAST_KEYS", bound)
         asked = reads.key_list(spark, keys)
+        for listed in (0, 256):
+            monkeypatch.setattr(R, "LISTED_KEYS", listed)
+            assert got(R.resolve(R.narrowed(log, "a", keys))) == {k: v for k, v in want.items() if k in keys}
         view = R.resolve(R.narrowed(log, "a", asked, len(keys)))
         assert got(view) == {k: v for k, v in want.items() if k in keys}
         rows = reads.get_many(view, "a", asked).collect()
