@@ -7,8 +7,9 @@ aggregates fold them. Viterbi gives the best path over scores, its ids and its s
 encoding. For a BPE model it isn't what the model means: there, a second fold merges, step by step, the neighbours whose joint
 edge has the highest score, and gives the ids; the best path stands beside them. Characters without a piece become byte pieces.
 Segments of more than FOLDED characters (long runs of letters without a space) are folded by a heap and a running best,
-in time that follows their length, instead of by aggregates, whose states would be copied at each step.
-Texts then get their segments' codes by a join: FREQUENT ones are broadcast, the others shuffled, none of which is hot.
+in time that follows their length, instead of by aggregates, whose states would be copied at each step; that is done where they stand.
+Texts then look their segments' codes up: up to FREQUENT ones are broadcast. A text that has others asks for the codes of its
+distinct ones by a join, none of whose keys is hot, and meets them once, packed; so no occurrence of a segment is shuffled.
 
 Cases: null and empty texts have no ids; segments of any length are folded whole; repeated rows are encoded each; an empty
 table gives an empty result; other columns are dropped by name before any are added.
@@ -18,9 +19,12 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +32,12 @@ from pyspark.sql import types as T
 from .shared import Memo, Scratch, tidy
 
 SPACE = "▁"
-#: Segments whose codes are broadcast: a fixed number; they are some 20 MB.
+#: Segments whose codes are broadcast, at most: a fixed number; they are some 20 MB.
 FREQUENT = 100_000
 #: The longest segment that is folded by aggregates.
 FOLDED = 64
+#: Counts of segments fall into so many classes for each factor e; the classes tell which segments are frequent.
+_STEPS = 8
 _CACHE = 100_000
 CODES = "ids array<int>, best array<int>, score double"
 
@@ -71,40 +77,58 @@ class Cutter:
         self.joined = frozenset(p[i : i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1))
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.prefix = SPACE if pieces.dummy_prefix else ""
-        self.known = Memo(self._cut, _CACHE)
 
-    def _cut(self, word: str) -> list[str]:
+    def cut(self, word: str) -> list[str]:
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
-    def __call__(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        return [x for word in self.words(self.prefix + text.replace(" ", SPACE)) for x in self.known[word]]
+    def split(self, text: str | None) -> list[str]:
+        """The words of a text, each with the spaces before it."""
+        return self.words(self.prefix + text.replace(" ", SPACE)) if text else []
 
+    def __call__(self, text: str | None) -> list[str]:
+        return [x for word in self.split(text) for x in self.cut(word)]
 
-def segmented(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """rows, whose last column is a text, with its segments, ``_words``, in its place."""
-    kept = rows.schema.fields[:-1]
 
-    def cut(batches):
-        cutter = Cutter(pieces)
-        for batch in batches:
-            words = [cutter(t) for t in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words, pa.list_(pa.string()))], names=[*(f.name for f in kept), "_words"])
+def counted(texts: DataFrame, pieces: Pieces) -> DataFrame:
+    """word and n of the segments up to FOLDED characters of a column of texts: sums over stretches of rows, not yet added up."""
 
-    return rows.mapInArrow(tidy(cut), T.StructType([*kept, T.StructField("_words", T.ArrayType(T.StringType()))]))
+    def count(batches):
+        cutter, words = Cutter(pieces), Counter()
 
+        def found():
+            segments = Counter()
+            for word, n in words.items():
+                for x in cutter.cut(word):
+                    if len(x) <= FOLDED:
+                        segments[x] += n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(segments.keys(), pa.string()), pa.array(segments.values(), pa.int64())], names=["word", "n"])
 
-def lattice(words: DataFrame, pieces: Pieces, spark: SparkSession) -> DataFrame:
-    """word, of ``words`` dealt by it, and its edges: a map from start * (longest + 1) + length to (score, id)."""
-    table = spark.createDataFrame(list(pieces.rows), "piece string, id int, score double")
-    wide = pieces.longest + 1
-    starts = F.sequence(F.lit(0), F.length("word") - 1)
-    parts = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - s)), lambda n: F.struct((s * wide + n).alias("at"), F.substring(F.col("word"), s + 1, n).alias("piece")))))
-    each = words.select("word", F.explode(parts).alias("e")).select("word", "e.at", "e.piece")
-    edges = each.join(F.broadcast(table), "piece").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("score", "id").alias("edge")))).alias("edges"))
-    return words.join(edges, "word", "left").select("word", F.coalesce("edges", F.create_map().cast("map<int,struct<score:double,id:int>>")).alias("edges"))
+        for batch in batches:
+            for text in batch.column(0):
+                words.update(cutter.split(text.as_py()))
+                if len(words) > 2 * _CACHE:
+                    yield found()
+        yield found()
+
+    return texts.mapInArrow(tidy(count), "word string, n long")
+
+
+def lattice(words: DataFrame, pieces: Pieces, unknown_score: float) -> DataFrame:
+    """The columns of ``words``, dealt by their distinct ``word``; their ways, the edges from start to end with score and id (null: a character
+    without a piece, which costs unknown_score); and edges, those with an id, as a map from start * (longest + 1) + length."""
+    table = words.sparkSession.createDataFrame(list(pieces.rows), "_piece string, id int, score double")
+    columns, wide = words.columns, pieces.longest + 1
+    each = words.withColumn("_start", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
+    each = each.withColumn("_size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("_start")))))
+    each = each.withColumn("_piece", F.col("word").substr(F.col("_start") + 1, F.col("_size")))
+    found = each.join(F.broadcast(table), "_piece", "left").where("id is not null or _size = 1")
+    way = F.struct(F.col("_start").alias("start"), (F.col("_start") + F.col("_size")).alias("end"), F.coalesce("score", F.lit(float(unknown_score))).alias("score"), "id")
+    rows = found.groupBy(*columns).agg(F.collect_list(way).alias("ways"))
+    known = F.filter("ways", lambda w: w["id"].isNotNull())
+    edges = F.map_from_entries(F.transform(known, lambda w: F.struct((w["start"] * wide + w["end"] - w["start"]).alias("at"), F.struct(w["score"].alias("score"), w["id"].alias("id")).alias("edge"))))
+    return rows.withColumn("edges", edges)
 
 
 def _edge(start: Column, end: Column, wide: int) -> Column:
@@ -139,17 +163,8 @@ def merge_fold(pieces: Pieces) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), state(F.sequence(F.lit(0), n), first), step)["cuts"]
 
 
-def with_ways(rows: DataFrame, pieces: Pieces, unknown_score: float) -> DataFrame:
-    """rows of a lattice with their ways: start, end and score of each edge, and of each character without a piece, which costs unknown_score."""
-    wide = pieces.longest + 1
-    way = lambda a, b, score: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), score.alias("score"))
-    known = F.transform(F.map_entries("edges"), lambda e: way(F.floor(e["key"] / wide), F.floor(e["key"] / wide) + e["key"] % wide, e["value"]["score"]))
-    bare = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: ~F.map_contains_key("edges", i * wide + 1))
-    return rows.withColumn("ways", F.concat(known, F.transform(bare, lambda i: way(i, i + 1, F.lit(float(unknown_score))))))
-
-
 def viterbi_fold() -> Column:
-    """score of the best path and the ends of its pieces (cuts), from 0, over the ``ways`` of ``with_ways``."""
+    """score of the best path and the ends of its pieces (cuts), from 0, over the ``ways`` of a lattice."""
     state = lambda best, back: F.struct(best.alias("best"), back.alias("back"))
 
     def step(s: Column, end: Column) -> Column:
@@ -252,45 +267,128 @@ class LongFold:
         return self.merged(word) if self.pieces.is_bpe else best, best, score
 
 
-def encode_words(words: DataFrame, pieces: Pieces, unknown_score: float | None = None) -> DataFrame:
-    """word, ids, best (the ids of the best path) and its score, of distinct, not empty segments."""
-    worst = min((s for _, _, s in pieces.rows), default=0.0) - 10 if unknown_score is None else unknown_score
-    words = words.select("word").repartition("word")  # the lattice is grouped where it is made
-    rows = with_ways(lattice(words.where(F.length("word") <= FOLDED), pieces, words.sparkSession), pieces, worst)
+def unknown_score(pieces: Pieces) -> float:
+    return min((s for _, _, s in pieces.rows), default=0.0) - 10
+
+
+def encode_words(words: DataFrame, pieces: Pieces, unknown: float | None = None) -> DataFrame:
+    """The columns of words, dealt by their distinct, not empty ``word`` of FOLDED characters at most; ids, best (the ids of the best path) and its score."""
+    columns = words.columns
+    rows = lattice(words, pieces, unknown_score(pieces) if unknown is None else unknown)
     rows = rows.withColumn("path", viterbi_fold()).withColumn("best_cuts", F.col("path.cuts"))
     best = _ids(pieces, "best_cuts")
     if pieces.is_bpe:
-        rows = rows.withColumn("cuts", merge_fold(pieces)).select("word", _ids(pieces, "cuts").alias("ids"), best.alias("best"), F.col("path.score").alias("score"))
-    else:
-        rows = rows.select("word", best.alias("ids"), best.alias("best"), F.col("path.score").alias("score"))
+        return rows.withColumn("cuts", merge_fold(pieces)).select(*columns, _ids(pieces, "cuts").alias("ids"), best.alias("best"), F.col("path.score").alias("score"))
+    return rows.select(*columns, best.alias("ids"), best.alias("best"), F.col("path.score").alias("score"))
+
+
+def _packed(lists: pa.Array) -> list[bytes]:
+    """The numbers of each list, four bytes each."""
+    flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<i4"), lists.offsets.to_numpy()
+    return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+
+
+def _unpacked(data: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(d) // 4 for d in data)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
 
-    def fold(batches):
-        by = LongFold(pieces, worst)
-        for batch in batches:
-            found = [by(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64())))], names=["word", "ids", "best", "score"])
 
-    return rows.unionByName(words.where(F.length("word") > FOLDED).mapInArrow(tidy(fold), f"word string, {CODES}"))
+class Coder:
+    """Codes (ids, best ids, score) of words from those of their segments."""
+
+    def __init__(self, pieces: Pieces, often: pa.Table):
+        self.cutter, self.long = Cutter(pieces), LongFold(pieces, unknown_score(pieces))
+        often = often.combine_chunks()
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in often.columns]
+        self.codes = dict(zip(columns[0].to_pylist(), zip(_packed(columns[1]), _packed(columns[2]), columns[3].to_pylist())))
+        self.known = Memo(lambda word: self.of(word, {}), _CACHE)
+
+    def of(self, word: str, own: dict) -> tuple | list[str]:
+        """The word's codes, with those of segments that aren't frequent in own; or the segments that have none."""
+        got, missing = [], []
+        for x in self.cutter.cut(word):
+            if len(x) > FOLDED:
+                ids, best, score = self.long(x)
+                got.append((np.array(ids, "<i4").tobytes(), np.array(best, "<i4").tobytes(), score))
+            elif (code := self.codes.get(x) or own.get(x)) is not None:
+                got.append(code)
+            else:
+                missing.append(x)
+        return missing or (got[0] if len(got) == 1 else self.joined(got))
+
+    def words(self, text: str | None) -> list[tuple[str, tuple | list[str]]]:
+        """Each word of a text with its codes or missing segments; what is long isn't remembered."""
+        return [(w, self.known[w] if len(w) <= 4 * FOLDED else self.of(w, {})) for w in self.cutter.split(text)]
+
+    @staticmethod
+    def joined(codes: list[tuple]) -> tuple:
+        return b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes]), float(sum([c[2] for c in codes]))
+
+
+def frequent(codes: DataFrame) -> pa.Table:
+    """The rows of the most frequent words, FREQUENT at most: whole classes of counts from the top. Any other word has at most some FREQUENT-th of all occurrences."""
+    of = F.floor(F.log("n") * _STEPS)
+    room, least = FREQUENT, None
+    for row in codes.groupBy(of.alias("c")).count().orderBy(F.col("c").desc()).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["c"]
+    rows = codes.select("word", "ids", "best", "score")
+    return (rows.where("false") if least is None else rows.where(of >= least)).toArrow()
 
 
 def encode_texts(df: DataFrame, keys: list[str], text_col: str, pieces: Pieces, scratch: Scratch) -> DataFrame:
     """The columns ``keys`` of df, n_ids and ids of each row, best_ids (of the best path) and best_score."""
-    rows = df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
-    each = scratch.keep(segmented(rows, pieces), "words", "zstd")
-    counts = scratch.keep(each.select(F.explode("_words").alias("word")).groupBy("word").count(), "counts")
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # segments cost much time for their bytes: they are dealt to all tasks once, and counted and encoded there
+    counts = counted(df.select(text_col), pieces).repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
     codes = scratch.keep(encode_words(counts, pieces), "codes", "zstd")
-    often = scratch.keep(counts.orderBy(F.col("count").desc(), "word").limit(FREQUENT).select("word").join(codes, "word"), "often")
-    met = each.select("_row", F.posexplode("_words").alias("at", "word")).join(F.broadcast(often), "word", "left")
-    known = met.where("ids is not null").select("_row", "at", "ids", "best", "score")
-    # a segment that isn't broadcast has at most a FREQUENT-th of all occurrences
-    others = met.where("ids is null").select("_row", "at", "word").join(codes, "word").select("_row", "at", "ids", "best", "score")
-    parts = F.array_sort(F.collect_list(F.struct("at", "ids", "best", "score")))
-    joined = known.unionAll(others).groupBy("_row").agg(parts.alias("p"))
-    joined = joined.select("_row", F.flatten(F.col("p.ids")).alias("ids"), F.flatten(F.col("p.best")).alias("best"), F.aggregate(F.col("p.score"), F.lit(0.0), lambda a, x: a + x).alias("score"))
-    out = each.select(*keys, "_row").join(joined, "_row", "left")
-    none = F.array().cast("array<int>")
-    ids = F.coalesce("ids", none)
-    return out.select(*keys, F.size(ids).alias("n_ids"), ids.alias("ids"), F.coalesce("best", none).alias("best_ids"), F.coalesce("score", F.lit(0.0)).alias("best_score"))
+    often = spark.sparkContext.broadcast(frequent(codes))
+
+    rows = df.select(*keys, F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    done = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL(f"{CODES}, _row long, rare array<string>, packed binary").fields])
+
+    def first(batches):
+        """Codes of texts all of whose segments are known; the others packed, with what they lack."""
+        coder, pack = Coder(pieces, often.value), zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            codes_, rare, packed = [], [], []
+            for text in batch.column(len(keys)):
+                text = text.as_py()
+                found = [f for _, f in coder.words(text)]
+                lacking = sorted({x for f in found if type(f) is list for x in f})
+                codes_.append((b"", b"", 0.0) if lacking else coder.joined(found))
+                rare.append(lacking or None)
+                packed.append(pack(text.encode()) if lacking else None)
+            columns = [*batch.columns[: len(keys)], *_columns(codes_), batch.column(len(keys) + 1), pa.array(rare, pa.list_(pa.string())), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=done.names)
+
+    met = scratch.keep(rows.mapInArrow(tidy(first), done), "met", "zstd")
+    lacking = met.where("rare is not null").select("_row", F.explode("rare").alias("word")).join(codes.select("word", "ids", "best", "score"), "word")
+    own = lacking.groupBy("_row").agg(F.collect_list(F.struct("word", "ids", "best", "score")).alias("own"))
+    others = met.where("rare is not null").select(*keys, "_row", "packed").join(own, "_row").select(*keys, "packed", "own")
+    final = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL(CODES).fields])
+
+    def second(batches):
+        coder, unpack = Coder(pieces, often.value), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            at, own = batch.column(len(keys) + 1).offsets.to_pylist(), batch.column(len(keys) + 1).values.flatten()
+            names, ids, best, scores = own[0].to_pylist(), _packed(own[1]), _packed(own[2]), own[3].to_pylist()
+            codes_ = []
+            for k, data in enumerate(batch.column(len(keys))):
+                a, b = at[k], at[k + 1]
+                mine = dict(zip(names[a:b], zip(ids[a:b], best[a:b], scores[a:b])))
+                codes_.append(coder.joined([coder.of(w, mine) if type(f) is list else f for w, f in coder.words(unpack(data.as_py()).decode())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *_columns(codes_)], names=final.names)
+
+    out = met.where("rare is null").select(*keys, "ids", "best", "score").unionAll(others.mapInArrow(tidy(second), final))
+    return out.select(*keys, F.size("ids").alias("n_ids"), "ids", F.col("best").alias("best_ids"), F.col("score").alias("best_score"))
+
+
+def _columns(codes: list[tuple]) -> list[pa.Array]:
+    return [_unpacked([c[0] for c in codes]), _unpacked([c[1] for c in codes]), pa.array([c[2] for c in codes], pa.float64())]
 
 
 def decode_ids(df: DataFrame, keys: list[str], ids_col: str, pieces: Pieces) -> DataFrame:
