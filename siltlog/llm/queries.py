@@ -47,7 +47,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There are no recordings among the tables: the UTF-8 bytes of documents are played as 8-bit samples."""
+    """There are no recordings among the tables: the UTF-8 bytes of documents are played as 8-bit samples. All pairs vote."""
     return align(table(spark, sf_dir, "documents"), "doc_id", "text", Scratch(spark, "chroma"))
 
 
