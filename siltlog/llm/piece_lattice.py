@@ -8,8 +8,10 @@ encoding. For a BPE model it isn't what the model means: there, a second fold me
 edge has the highest score, and gives the ids; the best path stands beside them. Characters without a piece become byte pieces.
 Segments of more than FOLDED characters (long runs of letters without a space) are folded by a heap and a running best,
 in time that follows their length, instead of by aggregates, whose states would be copied at each step; that is done where they stand.
-Texts then look their segments' codes up: up to FREQUENT ones are broadcast. A text that has others asks for the codes of its
-distinct ones by a join, none of whose keys is hot, and meets them once, packed; so no occurrence of a segment is shuffled.
+Texts then look their segments' codes up: up to FREQUENT ones are broadcast. A text that has others asks, under its 64-bit hash,
+for the codes of its distinct ones by a join, and is read again to meet them, packed; so no occurrence of a segment is shuffled, and no text is
+written but by that one shuffle. No key of these joins is hot: a text with many copies has frequent segments only. One of the texts
+of a hash asks for all of them; should two texts differ, the query fails for want of a code instead of giving a wrong one.
 
 Cases: null and empty texts have no ids; segments of any length are folded whole; repeated rows are encoded each; an empty
 table gives an empty result; other columns are dropped by name before any are added.
@@ -19,17 +21,19 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Memo, Scratch, tidy
+from .shared import Memo, Scratch, keep_ids, shuffles_removed, tidy
 
 SPACE = "▁"
 #: Segments whose codes are broadcast, at most: a fixed number; they are some 20 MB.
@@ -293,6 +297,28 @@ def _unpacked(data: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
 
 
+class Compact:
+    """A segment of FOLDED characters at most and its codes as few bytes: flags, three lengths less 1, score, text, ids and, if they differ, best ids."""
+
+    def __init__(self, pieces: Pieces):
+        top = max([pieces.unknown_id, (pieces.byte_base or 0) + 255, *(i for _, i, _ in pieces.rows)])
+        self.kind, self.width = ("<u2", 2) if top < 1 << 16 else ("<i4", 4)
+
+    def pack(self, word: str, ids: bytes, best: bytes, score: float) -> bytes:
+        exact, data, less = struct.unpack("<f", struct.pack("<f", score))[0] == score, word.encode(), lambda x: np.frombuffer(x, "<i4").astype(self.kind).tobytes()
+        own = b"" if best == ids else less(best)
+        head = struct.pack("<BBBB" + "df"[exact], (not exact) | 2 * bool(own), len(data) - 1, len(ids) // 4 - 1, max(0, len(best) // 4 - 1), score)
+        return head + data + less(ids) + own
+
+    def unpack(self, code: bytes) -> tuple[str, tuple[bytes, bytes, float]]:
+        flags, size, n, m = code[:4]
+        score, at = struct.unpack_from("<d" if flags & 1 else "<f", code, 4)[0], 12 if flags & 1 else 8
+        word, at = code[at : at + size + 1].decode(), at + size + 1
+        more = lambda n, at: np.frombuffer(code, self.kind, n + 1, at).astype("<i4").tobytes()
+        ids = more(n, at)
+        return word, (ids, more(m, at + (n + 1) * self.width) if flags & 2 else ids, score)
+
+
 class Coder:
     """Codes (ids, best ids, score) of words from those of their segments."""
 
@@ -344,42 +370,62 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, pieces: Pieces,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # segments cost much time for their bytes: they are dealt to all tasks once, and counted and encoded there
     counts = counted(df.select(text_col), pieces).repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
-    codes = scratch.keep(encode_words(counts, pieces), "codes", "zstd")
+    with shuffles_removed(spark):
+        codes = scratch.keep(encode_words(counts, pieces), "codes", "zstd")
     often = spark.sparkContext.broadcast(frequent(codes))
 
-    rows = df.select(*keys, F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    done = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL(f"{CODES}, _row long, rare array<string>, packed binary").fields])
+    rows = df.select(*keys, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_digest"))
+    done = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL(f"{CODES}, _digest long, _row long, rare array<string>").fields])
 
     def first(batches):
-        """Codes of texts all of whose segments are known; the others packed, with what they lack."""
-        coder, pack = Coder(pieces, often.value), zstandard.ZstdCompressor(3).compress
+        """Codes of texts all of whose segments are known; of the others, the segments that they lack."""
+        coder, row = Coder(pieces, often.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            codes_, rare, packed = [], [], []
+            codes_, rare = [], []
             for text in batch.column(len(keys)):
-                text = text.as_py()
-                found = [f for _, f in coder.words(text)]
+                found = [f for _, f in coder.words(text.as_py())]
                 lacking = sorted({x for f in found if type(f) is list for x in f})
                 codes_.append((b"", b"", 0.0) if lacking else coder.joined(found))
                 rare.append(lacking or None)
-                packed.append(pack(text.encode()) if lacking else None)
-            columns = [*batch.columns[: len(keys)], *_columns(codes_), batch.column(len(keys) + 1), pa.array(rare, pa.list_(pa.string())), pa.array(packed, pa.binary())]
+            columns = [*batch.columns[: len(keys)], *_columns(codes_), batch.column(len(keys) + 1), pa.array(np.arange(row, row + len(batch))), pa.array(rare, pa.list_(pa.string()))]
+            row += len(batch)
             yield pa.RecordBatch.from_arrays(columns, names=done.names)
 
     met = scratch.keep(rows.mapInArrow(tidy(first), done), "met", "zstd")
-    lacking = met.where("rare is not null").select("_row", F.explode("rare").alias("word")).join(codes.select("word", "ids", "best", "score"), "word")
-    own = lacking.groupBy("_row").agg(F.collect_list(F.struct("word", "ids", "best", "score")).alias("own"))
-    others = met.where("rare is not null").select(*keys, "_row", "packed").join(own, "_row").select(*keys, "packed", "own")
+    # one of all texts of a hash asks, and what it gets is a few bytes for each segment
+    asking = met.where("rare is not null").select("_digest", "_row", "rare")
+    with shuffles_removed(spark):
+        firsts = scratch.keep(asking.groupBy("_digest").agg(F.min("_row").alias("_row")).select("_row"), "firsts", "zstd")
+    compact = Compact(pieces)
+
+    def shrink(batches):
+        for batch in batches:
+            columns = batch.column(0).to_pylist(), _packed(batch.column(1)), _packed(batch.column(2)), batch.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compact.pack(*x) for x in zip(*columns)], pa.binary())], names=["word", "code"])
+
+    lacking = keep_ids(asking, firsts, "_row").select("_digest", F.explode("rare").alias("word"))
+    own = lacking.join(codes.select("word", "ids", "best", "score").mapInArrow(tidy(shrink), "word string, code binary"), "word").groupBy("_digest").agg(F.collect_list("code").alias("own"))
+    with shuffles_removed(spark):
+        own = scratch.keep(own, "own", "zstd")
+    scratch.drop("codes")
+
+    def packed(batches):
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            texts = batch.column(len(keys)).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array([pack(t or b"") for t in texts], pa.binary()), batch.column(len(keys) + 1)], names=small.names)
+
+    small = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL("_text binary, _digest long").fields])
+    others = rows.mapInArrow(tidy(packed), small).join(own.hint("shuffle_hash"), "_digest").select(*keys, "_text", "own")
     final = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL(CODES).fields])
 
     def second(batches):
         coder, unpack = Coder(pieces, often.value), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            at, own = batch.column(len(keys) + 1).offsets.to_pylist(), batch.column(len(keys) + 1).values.flatten()
-            names, ids, best, scores = own[0].to_pylist(), _packed(own[1]), _packed(own[2]), own[3].to_pylist()
+            at, own = batch.column(len(keys) + 1).offsets.to_pylist(), batch.column(len(keys) + 1).values.to_pylist()
             codes_ = []
             for k, data in enumerate(batch.column(len(keys))):
-                a, b = at[k], at[k + 1]
-                mine = dict(zip(names[a:b], zip(ids[a:b], best[a:b], scores[a:b])))
+                mine = dict(map(compact.unpack, own[at[k] : at[k + 1]]))
                 codes_.append(coder.joined([coder.of(w, mine) if type(f) is list else f for w, f in coder.words(unpack(data.as_py()).decode())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *_columns(codes_)], names=final.names)
 

@@ -1,6 +1,7 @@
 import functools
 import hashlib
 import random
+import time
 
 import pytest
 import sentencepiece
@@ -114,3 +115,47 @@ def test_long_runs_of_letters(spark, model):
     by = P.LongFold(pieces, -50.0)
     rows = P.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces, -50.0).collect()
     assert {r["word"]: (r["ids"], r["best"], r["score"]) for r in rows} == {w: by(w) for w in words}
+
+
+def test_texts_are_not_written_beside_their_shuffle(spark, model, monkeypatch):
+    """Rare segments in copies of texts: no intermediate table holds a text."""
+    monkeypatch.setattr(P, "FREQUENT", 3)
+    pieces, sp = model
+    texts = [f"word{i % 7} unheard{i % 7}of {i % 7} naïve☃{i % 7}日" for i in range(50)]
+    plain = lambda frame: {r["doc_id"]: (r["best_ids"], r["best_score"]) for r in frame.collect()}
+    kept = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *more: kept.setdefault(name, keep(self, df, name, *more)))
+    out = P.encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"], "text", pieces, Scratch(spark, "t"))
+    assert {r["doc_id"]: r["ids"] for r in out.collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+    long = P.LongFold(pieces, P.unknown_score(pieces))
+    want = {t: [long(x) for x in P.Cutter(pieces)(t)] for t in set(texts)}
+    assert plain(out) == {i: ([j for x in want[t] for j in x[1]], sum(x[2] for x in want[t])) for i, t in enumerate(texts)}
+    assert kept["own"].count() == 7 and kept["met"].columns == ["doc_id", "ids", "best", "score", "_digest", "_row", "rare"]
+
+
+def test_shuffle_files_go(spark):
+    from siltlog.llm.shared import shuffles_removed
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    run = lambda name: Scratch(spark, "t").keep(spark.range(1000).repartition(5, "id").groupBy("id").count(), name)
+    before = files()
+    with shuffles_removed(spark):
+        run("a")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    run("b")
+    assert not files() <= before
+
+
+def test_compact_codes(model):
+    pieces, _ = model
+    few = P.Pieces((("a", 70_000, -0.1),), None, 3, False)
+    for p, word, ids, best, score in [(pieces, "a", [5], [5], -3.0), (pieces, "\U0001f600" * 64, list(range(256)), list(range(1, 257)), -0.1), (few, "aé", [70_000, 3], [3], 1 / 3)]:
+        packed = [P.np.array(x, "<i4").tobytes() for x in (ids, best)]
+        c = P.Compact(p)
+        assert c.unpack(c.pack(word, *packed, score)) == (word, (*packed, score))
