@@ -8,9 +8,10 @@ encoding. For a BPE model it isn't what the model means: there, a second fold me
 edge has the highest score, and gives the ids; the best path stands beside them. Characters without a piece become byte pieces.
 Segments of more than FOLDED characters (long runs of letters without a space) are folded by a heap and a running best,
 in time that follows their length, instead of by aggregates, whose states would be copied at each step; that is done where they stand.
-Texts then look their segments' codes up: up to FREQUENT ones are broadcast. A text that has others asks, under its 64-bit hash,
+Texts are cut, and look their segments' codes up, over arrays, many at once: up to FREQUENT codes are broadcast, of the segments that are most
+frequent in a sample. A text that has others asks, under its 64-bit hash,
 for the codes of its distinct ones by a join, and is read again to meet them, packed; so no occurrence of a segment is shuffled, and no text is
-written but by that one shuffle. No key of these joins is hot: a text with many copies has frequent segments only. One of the texts
+written but by that one shuffle. A text with many copies asks once. One of the texts
 of a hash asks for all of them; should two texts differ, the query fails for want of a code instead of giving a wrong one.
 
 Cases: null and empty texts have no ids; segments of any length are folded whole; repeated rows are encoded each; an empty
@@ -27,13 +28,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Memo, Scratch, keep_ids, shuffles_removed, tidy
+from .shared import Scratch, keep_ids, shuffles_removed, tidy
 
 SPACE = "▁"
 #: Segments whose codes are broadcast, at most: a fixed number; they are some 20 MB.
@@ -42,7 +44,12 @@ FREQUENT = 100_000
 FOLDED = 64
 #: Counts of segments fall into so many classes for each factor e; the classes tell which segments are frequent.
 _STEPS = 8
+#: One text in so many, by hash, is read for that.
+SAMPLED = 8
 _CACHE = 100_000
+#: Bytes of text that are cut at once, some; a longer text is cut whole.
+_STRETCH = 1 << 19
+_FLOAT, _DOUBLE = struct.Struct("<f").unpack_from, struct.Struct("<d").unpack_from
 CODES = "ids array<int>, best array<int>, score double"
 
 
@@ -94,24 +101,71 @@ class Cutter:
         return [x for word in self.split(text) for x in self.cut(word)]
 
 
+class Spans:
+    """The segments of many texts at once: what Cutter gives text by text, found in arrays of code points."""
+
+    def __init__(self, pieces: Pieces):
+        pairs = {p for p in Cutter(pieces).joined if p[1] != SPACE or p[0] == SPACE}
+        chars = sorted({c for p in pairs for c in p})
+        self.prefix, self.most, at = " " if pieces.dummy_prefix else "", len(chars) + 1, {c: i + 1 for i, c in enumerate(chars)}
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[[ord(c) for c in chars]] = range(1, self.most)
+        self.classes[ord(" ")] = at.get(SPACE, 0)
+        self.keys = np.array(sorted(at[p[0]] * self.most + at[p[1]] for p in pairs), np.int64)
+        self.table = None
+        if self.most**2 <= 1 << 26:
+            self.table = np.zeros(self.most**2, bool)
+            self.table[self.keys] = True
+
+    def __call__(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct segments, the places there of all segments, and where those of each text begin and end."""
+        own = [self.prefix + t.replace(SPACE, " ") if t else "" for t in texts]
+        sizes, whole = np.cumsum([0, *map(len, own)]), "".join(own)
+        if not whole:
+            return pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(len(own) + 1, np.int64)
+        points, data = np.frombuffer(whole.encode("utf-32-le"), "<u4"), whole.encode()
+        kinds = self.classes[points]
+        pairs = kinds[:-1] * self.most + kinds[1:] if self.table is not None else kinds[:-1].astype(np.int64) * self.most + kinds[1:]
+        begins = np.ones(len(points), bool)
+        begins[1:] = ~(self.table[pairs] if self.table is not None else np.isin(pairs, self.keys))
+        begins[sizes[:-1][sizes[:-1] < len(points)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.searchsorted(starts, sizes)
+        if len(data) != len(points):
+            widths = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+            starts = (np.cumsum(widths, dtype=np.int64) - widths)[starts]
+        offsets = np.append(starts, len(data))
+        small = len(data) < 1 << 31
+        kind = pa.StringArray if small else pa.LargeStringArray
+        found = kind.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32 if small else np.int64)), pa.py_buffer(data)).dictionary_encode()
+        return pc.replace_substring(found.dictionary, " ", SPACE).cast(pa.string()), found.indices.to_numpy(), ends
+
+
+def stretches(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Stretches of rows of some ``most`` in sum, a row at least."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0))
+    cuts = np.unique([0, *cuts, len(sizes)]).tolist()
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 def counted(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """word and n of the segments up to FOLDED characters of a column of texts: sums over stretches of rows, not yet added up."""
 
     def count(batches):
-        cutter, words = Cutter(pieces), Counter()
+        spans, words = Spans(pieces), Counter()
 
         def found():
-            segments = Counter()
-            for word, n in words.items():
-                for x in cutter.cut(word):
-                    if len(x) <= FOLDED:
-                        segments[x] += n
+            out = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(segments.keys(), pa.string()), pa.array(segments.values(), pa.int64())], names=["word", "n"])
+            return out
 
         for batch in batches:
-            for text in batch.column(0):
-                words.update(cutter.split(text.as_py()))
+            column = batch.column(0)
+            for a, b in stretches(_sizes(column), _STRETCH):
+                segments, at, _ = spans(column.slice(a, b - a).to_pylist())
+                for x, n in zip(segments.to_pylist(), np.bincount(at, minlength=len(segments)).tolist()):
+                    if len(x) <= FOLDED:
+                        words[x] += n
                 if len(words) > 2 * _CACHE:
                     yield found()
         yield found()
@@ -119,6 +173,10 @@ def counted(texts: DataFrame, pieces: Pieces) -> DataFrame:
     return texts.mapInArrow(tidy(count), "word string, n long")
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def lattice(words: DataFrame, pieces: Pieces, unknown_score: float) -> DataFrame:
     """The columns of ``words``, dealt by their distinct ``word``; their ways, the edges from start to end with score and id (null: a character
     without a piece, which costs unknown_score); and edges, those with an id, as a map from start * (longest + 1) + length."""
@@ -191,17 +249,19 @@ def _ids(pieces: Pieces, cuts: str) -> Column:
     """ids of the pieces between ``cuts``, with byte pieces for characters that have none."""
     wide = pieces.longest + 1
 
-    def of(j: Column) -> Column:
+    def of(known: Column, j: Column) -> Column:
         a, b = F.get(cuts, j), F.get(cuts, j + 1)
         data = F.hex(F.encode(F.substring(F.col("word"), a + 1, b - a), "utf-8"))
         if pieces.byte_base is None:
             other = F.array(F.lit(pieces.unknown_id))
         else:
             other = F.transform(F.sequence(F.lit(1), (F.length(data) / 2).cast("int")), lambda i: (F.conv(F.substring(data, i * 2 - 1, F.lit(2)), 16, 10).cast("int") + pieces.byte_base))
-        found = _edge(a, b, wide)["id"]
-        return F.when(found.isNotNull(), F.array(found)).otherwise(other)
+        return F.when(known.isNotNull(), F.array(known)).otherwise(other)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), of))
+    # an array of one element binds the ids, so that they are sought once; bytes are asked for only where one is missing
+    places = F.sequence(F.lit(0), F.size(cuts) - 2)
+    found = F.transform(places, lambda j: _edge(F.get(cuts, j), F.get(cuts, j + 1), wide)["id"])
+    return F.get(F.transform(F.array(found), lambda ids: F.when(F.exists(ids, lambda i: i.isNull()), F.flatten(F.transform(ids, of))).otherwise(ids)), F.lit(0))
 
 
 class LongFold:
@@ -292,11 +352,6 @@ def _packed(lists: pa.Array) -> list[bytes]:
     return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
 
 
-def _unpacked(data: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(d) // 4 for d in data)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
-
-
 class Compact:
     """A segment of FOLDED characters at most and its codes as few bytes: flags, three lengths less 1, score, text, ids and, if they differ, best ids."""
 
@@ -310,92 +365,141 @@ class Compact:
         head = struct.pack("<BBBB" + "df"[exact], (not exact) | 2 * bool(own), len(data) - 1, len(ids) // 4 - 1, max(0, len(best) // 4 - 1), score)
         return head + data + less(ids) + own
 
-    def unpack(self, code: bytes) -> tuple[str, tuple[bytes, bytes, float]]:
+    def parts(self, code: bytes) -> tuple[bytes, bytes, bytes, float]:
+        """The segment's bytes, ids and best ids in the code's own width, and the score."""
         flags, size, n, m = code[:4]
-        score, at = struct.unpack_from("<d" if flags & 1 else "<f", code, 4)[0], 12 if flags & 1 else 8
-        word, at = code[at : at + size + 1].decode(), at + size + 1
-        more = lambda n, at: np.frombuffer(code, self.kind, n + 1, at).astype("<i4").tobytes()
-        ids = more(n, at)
-        return word, (ids, more(m, at + (n + 1) * self.width) if flags & 2 else ids, score)
+        at = 13 + size if flags & 1 else 9 + size
+        end = at + (n + 1) * self.width
+        ids = code[at:end]
+        return code[at - size - 1 : at], ids, code[end : end + (m + 1) * self.width] if flags & 2 else ids, (_DOUBLE if flags & 1 else _FLOAT)(code, 4)[0]
+
+    def codes(self, codes: list[bytes]) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
+        """ids, best ids and score of each segment."""
+        parts = [self.parts(c) for c in codes]
+        lists = []
+        for k in (1, 2):
+            flat, ends = np.frombuffer(b"".join([p[k] for p in parts]), self.kind).astype(np.int32), np.cumsum([0, *(len(p[k]) // self.width for p in parts)]).tolist()
+            lists.append([flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
+        return {p[0].decode(): (ids, best, p[3]) for p, ids, best in zip(parts, *lists)}
+
+    def unpack(self, code: bytes) -> tuple[str, tuple[bytes, bytes, float]]:
+        word, ids, best, score = self.parts(code)
+        whole = lambda x: np.frombuffer(x, self.kind).astype("<i4").tobytes()
+        return word.decode(), (whole(ids), whole(best), score)
+
+
+class Lists:
+    """Lists of numbers end to end, with where each begins and how long it is."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def __add__(self, other: Lists) -> Lists:
+        return Lists(np.concatenate([self.flat, other.flat]), np.concatenate([self.sizes, other.sizes]))
+
+    def picked(self, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The picked lists end to end, and where each ends, from 0."""
+        sizes = self.sizes[picks]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[picks] - (ends - sizes), sizes) + np.arange(total)], np.concatenate([[0], ends])
 
 
 class Coder:
-    """Codes (ids, best ids, score) of words from those of their segments."""
+    """Codes (ids, best ids, score) of many texts at once from those of their segments."""
 
     def __init__(self, pieces: Pieces, often: pa.Table):
-        self.cutter, self.long = Cutter(pieces), LongFold(pieces, unknown_score(pieces))
+        self.spans, self.long = Spans(pieces), LongFold(pieces, unknown_score(pieces))
         often = often.combine_chunks()
-        columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in often.columns]
-        self.codes = dict(zip(columns[0].to_pylist(), zip(_packed(columns[1]), _packed(columns[2]), columns[3].to_pylist())))
-        self.known = Memo(lambda word: self.of(word, {}), _CACHE)
-
-    def of(self, word: str, own: dict) -> tuple | list[str]:
-        """The word's codes, with those of segments that aren't frequent in own; or the segments that have none."""
-        got, missing = [], []
-        for x in self.cutter.cut(word):
-            if len(x) > FOLDED:
-                ids, best, score = self.long(x)
-                got.append((np.array(ids, "<i4").tobytes(), np.array(best, "<i4").tobytes(), score))
-            elif (code := self.codes.get(x) or own.get(x)) is not None:
-                got.append(code)
-            else:
-                missing.append(x)
-        return missing or (got[0] if len(got) == 1 else self.joined(got))
-
-    def words(self, text: str | None) -> list[tuple[str, tuple | list[str]]]:
-        """Each word of a text with its codes or missing segments; what is long isn't remembered."""
-        return [(w, self.known[w] if len(w) <= 4 * FOLDED else self.of(w, {})) for w in self.cutter.split(text)]
-
-    @staticmethod
-    def joined(codes: list[tuple]) -> tuple:
-        return b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes]), float(sum([c[2] for c in codes]))
+        word, ids, best, score = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in often.columns]
+        self.place = {w: i for i, w in enumerate(word.to_pylist())}
+        self.codes = [Lists(x.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64)) for x in (ids, best)]
+        self.scores = score.to_numpy(zero_copy_only=False)
+
+    def __call__(self, texts: list[str | None], own: dict | None = None) -> tuple[list[pa.Array], pa.Array]:
+        """ids, best and score of each text, and its segments that neither are frequent nor in own (null: none); texts that lack some have no codes yet."""
+        words, at, ends = self.spans(texts)
+        segments, places, more, own = words.to_pylist(), np.empty(len(words), np.int64), [], own or {}
+        known = len(self.place)
+        for i, x in enumerate(segments):
+            p = self.place.get(x)
+            if p is None:
+                code = own.get(x)
+                if code is None and len(x) > FOLDED:
+                    ids, best, score = self.long(x)
+                    code = np.array(ids, np.int32), np.array(best, np.int32), score
+                p = -1
+                if code is not None:
+                    p = known + len(more)
+                    more.append(code)
+            places[i] = p
+        picks, text = places[at], np.repeat(np.arange(len(texts)), np.diff(ends))
+        lacks = np.zeros(len(texts), bool)
+        lacks[text[picks < 0]] = True
+        # each text's lacking segments, once each
+        unique = np.unique(text[picks < 0] * max(1, len(words)) + at[picks < 0])
+        rare = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(unique // max(1, len(words)), np.arange(len(texts) + 1)), pa.int32()), words.take(pa.array(unique % max(1, len(words)))), mask=pa.array(~lacks)
+        )
+        kept = ~lacks[text]
+        picks, ends = picks[kept], np.concatenate([[0], np.cumsum(np.bincount(text[kept], minlength=len(texts)))])
+        out = []
+        for k, codes in enumerate(self.codes):
+            if more:
+                codes = codes + Lists(np.concatenate([c[k] for c in more]), np.array([len(c[k]) for c in more]))
+            flat, stops = codes.picked(picks)
+            out.append(pa.ListArray.from_arrays(pa.array(stops[ends], pa.int32()), pa.array(flat, pa.int32())))
+        scores = np.concatenate([self.scores, [c[2] for c in more]])[picks]
+        return [*out, pa.array(np.bincount(text[kept], scores, len(texts)), pa.float64())], rare
 
 
-def frequent(codes: DataFrame) -> pa.Table:
-    """The rows of the most frequent words, FREQUENT at most: whole classes of counts from the top. Any other word has at most some FREQUENT-th of all occurrences."""
+def frequent(counts: DataFrame, pieces: Pieces) -> pa.Table:
+    """The codes of the most frequent words, FREQUENT at most: whole classes of counts from the top."""
     of = F.floor(F.log("n") * _STEPS)
     room, least = FREQUENT, None
-    for row in codes.groupBy(of.alias("c")).count().orderBy(F.col("c").desc()).collect():
+    for row in counts.groupBy(of.alias("c")).count().orderBy(F.col("c").desc()).collect():
         room -= row["count"]
         if room < 0:
             break
         least = row["c"]
-    rows = codes.select("word", "ids", "best", "score")
-    return (rows.where("false") if least is None else rows.where(of >= least)).toArrow()
+    words = counts.where("false" if least is None else of >= least).select("word")
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return encode_words(words.repartition(parts, "word"), pieces).toArrow()
 
 
 def encode_texts(df: DataFrame, keys: list[str], text_col: str, pieces: Pieces, scratch: Scratch) -> DataFrame:
     """The columns ``keys`` of df, n_ids and ids of each row, best_ids (of the best path) and best_score."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # segments cost much time for their bytes: they are dealt to all tasks once, and counted and encoded there
-    counts = counted(df.select(text_col), pieces).repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
-    with shuffles_removed(spark):
-        codes = scratch.keep(encode_words(counts, pieces), "codes", "zstd")
-    often = spark.sparkContext.broadcast(frequent(codes))
-
     rows = df.select(*keys, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_digest"))
+    # a sample says which segments are frequent; that places them, and leaves none out
+    sample = rows.where(F.pmod("_digest", F.lit(SAMPLED)) == 0).select("_text")
+    with shuffles_removed(spark):
+        counts = scratch.keep(counted(sample, pieces).groupBy("word").agg(F.sum("n").alias("n")), "counts", "zstd")
+        often = spark.sparkContext.broadcast(frequent(counts, pieces))
+    scratch.drop("counts")
     done = T.StructType([*rows.schema.fields[: len(keys)], *T.StructType.fromDDL(f"{CODES}, _digest long, _row long, rare array<string>").fields])
 
     def first(batches):
         """Codes of texts all of whose segments are known; of the others, the segments that they lack."""
         coder, row = Coder(pieces, often.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            codes_, rare = [], []
-            for text in batch.column(len(keys)):
-                found = [f for _, f in coder.words(text.as_py())]
-                lacking = sorted({x for f in found if type(f) is list for x in f})
-                codes_.append((b"", b"", 0.0) if lacking else coder.joined(found))
-                rare.append(lacking or None)
-            columns = [*batch.columns[: len(keys)], *_columns(codes_), batch.column(len(keys) + 1), pa.array(np.arange(row, row + len(batch))), pa.array(rare, pa.list_(pa.string()))]
-            row += len(batch)
-            yield pa.RecordBatch.from_arrays(columns, names=done.names)
+            texts = batch.column(len(keys))
+            for a, b in stretches(_sizes(texts), _STRETCH):
+                codes, rare = coder(texts.slice(a, b - a).to_pylist())
+                others = [c.slice(a, b - a) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*others[: len(keys)], *codes, others[len(keys) + 1], pa.array(np.arange(row, row + b - a)), rare], names=done.names)
+                row += b - a
 
     met = scratch.keep(rows.mapInArrow(tidy(first), done), "met", "zstd")
     # one of all texts of a hash asks, and what it gets is a few bytes for each segment
     asking = met.where("rare is not null").select("_digest", "_row", "rare")
     with shuffles_removed(spark):
         firsts = scratch.keep(asking.groupBy("_digest").agg(F.min("_row").alias("_row")).select("_row"), "firsts", "zstd")
+    lacking = keep_ids(asking, firsts, "_row").select("_digest", F.explode("rare").alias("word"))
+    # segments cost much time for their bytes: they are dealt to all tasks, and encoded there
+    words = lacking.select("word").repartition(parts, "word").distinct()
     compact = Compact(pieces)
 
     def shrink(batches):
@@ -403,11 +507,13 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, pieces: Pieces,
             columns = batch.column(0).to_pylist(), _packed(batch.column(1)), _packed(batch.column(2)), batch.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compact.pack(*x) for x in zip(*columns)], pa.binary())], names=["word", "code"])
 
-    lacking = keep_ids(asking, firsts, "_row").select("_digest", F.explode("rare").alias("word"))
-    own = lacking.join(codes.select("word", "ids", "best", "score").mapInArrow(tidy(shrink), "word string, code binary"), "word").groupBy("_digest").agg(F.collect_list("code").alias("own"))
     with shuffles_removed(spark):
-        own = scratch.keep(own, "own", "zstd")
-    scratch.drop("codes")
+        codes = scratch.keep(encode_words(words, pieces).mapInArrow(tidy(shrink), "word string, code binary"), "codes", "zstd")
+        # two statements, so that the first one's shuffle is gone when the second one's is written
+        given = scratch.keep(lacking.join(codes, "word").select("_digest", "code"), "given", "zstd")
+        scratch.drop("codes", "firsts")
+        own = scratch.keep(given.groupBy("_digest").agg(F.collect_list("code").alias("own")), "own", "zstd")
+    scratch.drop("given")
 
     def packed(batches):
         pack = zstandard.ZstdCompressor(3).compress
@@ -422,29 +528,41 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, pieces: Pieces,
     def second(batches):
         coder, unpack = Coder(pieces, often.value), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            at, own = batch.column(len(keys) + 1).offsets.to_pylist(), batch.column(len(keys) + 1).values.to_pylist()
-            codes_ = []
-            for k, data in enumerate(batch.column(len(keys))):
-                mine = dict(map(compact.unpack, own[at[k] : at[k + 1]]))
-                codes_.append(coder.joined([coder.of(w, mine) if type(f) is list else f for w, f in coder.words(unpack(data.as_py()).decode())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *_columns(codes_)], names=final.names)
+            at, codes = batch.column(len(keys) + 1).offsets.to_pylist(), batch.column(len(keys) + 1).values
+            texts = [unpack(x).decode() for x in batch.column(len(keys)).to_pylist()]
+            for a, b in stretches(np.array([len(t) for t in texts]), _STRETCH):
+                own = compact.codes(codes.slice(at[a], at[b] - at[a]).unique().to_pylist())
+                found, rare = coder(texts[a:b], own)
+                if rare.null_count < len(rare):
+                    raise ValueError("texts of one hash differ: a segment has no code")
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keys)]), *found], names=final.names)
 
     out = met.where("rare is null").select(*keys, "ids", "best", "score").unionAll(others.mapInArrow(tidy(second), final))
     return out.select(*keys, F.size("ids").alias("n_ids"), "ids", F.col("best").alias("best_ids"), F.col("score").alias("best_score"))
 
 
-def _columns(codes: list[tuple]) -> list[pa.Array]:
-    return [_unpacked([c[0] for c in codes]), _unpacked([c[1] for c in codes]), pa.array([c[2] for c in codes], pa.float64())]
-
-
 def decode_ids(df: DataFrame, keys: list[str], ids_col: str, pieces: Pieces) -> DataFrame:
-    """The columns ``keys`` of df and the text of their ids, row by row."""
-    data = {i: p.encode().hex() for p, i, _ in pieces.rows}
+    """The columns ``keys`` of df and the text of their ids, row by row; ids that have no piece are skipped."""
+    data = {i: p.encode() for p, i, _ in pieces.rows}
     if pieces.byte_base is not None:
-        data |= {pieces.byte_base + b: f"{b:02x}" for b in range(256)}
-    # the bytes of each id, in a literal that is split once; ids that have none are skipped
-    table = F.split(F.lit(",".join(data.get(i, "") for i in range(max(data, default=0) + 1))), ",")
-    joined = F.array_join(F.transform(ids_col, lambda i: F.get(table, i)), "")
-    text = F.replace(F.decode(F.unhex(joined), "utf-8"), F.lit(SPACE), F.lit(" "))
-    text = F.regexp_replace(text, "^ ", "") if pieces.dummy_prefix else text
-    return df.select(*keys, F.coalesce(text, F.lit("")).alias("text"))
+        data |= {pieces.byte_base + b: bytes([b]) for b in range(256)}
+    # the last entry, of nothing, is for all others
+    known = [data.get(i, b"") for i in range(max(data, default=-1) + 1)] + [b""]
+    rows = df.select(*keys) if ids_col in keys else df.select(*keys, ids_col)
+    at, prefix = rows.columns.index(ids_col), pieces.dummy_prefix
+    schema = T.StructType([*rows.schema.fields[: len(keys)], T.StructField("text", T.StringType())])
+
+    def decode(batches):
+        table = Lists(np.frombuffer(b"".join(known), np.uint8), np.array([len(x) for x in known]))
+        for batch in batches:
+            lists = batch.column(at)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in stretches(sizes, _STRETCH // 4):
+                ids = pc.fill_null(lists.slice(a, b - a).flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat, stops = table.picked(np.where((ids < 0) | (ids >= len(known)), len(known) - 1, ids))
+                whole, ends = flat.tobytes(), stops[np.concatenate([[0], np.cumsum(sizes[a:b])])].tolist()
+                texts = [whole[x:y].decode("utf-8", "replace").replace(SPACE, " ") for x, y in zip(ends[:-1], ends[1:])]
+                texts = [t[1:] if prefix and t[:1] == " " else t for t in texts]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keys)]), pa.array(texts, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(tidy(decode), schema)

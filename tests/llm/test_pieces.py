@@ -159,3 +159,39 @@ def test_compact_codes(model):
         packed = [P.np.array(x, "<i4").tobytes() for x in (ids, best)]
         c = P.Compact(p)
         assert c.unpack(c.pack(word, *packed, score)) == (word, (*packed, score))
+
+
+def test_segments_are_cut_in_arrays(model):
+    """The segments that arrays of code points give are the cutter's, text by text, whole or in stretches."""
+    pieces, _ = model
+    texts = [None, "", *SAMPLES, *(t for _, t in TEXTS), "x  ", "  y", "\U0001f600▁ ▁é", ""]
+    cut, spans = P.Cutter(pieces), P.Spans(pieces)
+    for most in (1, 50, 1 << 20):
+        got = []
+        for a, b in P.stretches(P.np.array([len(t or "") for t in texts]), most):
+            words, at, ends = spans(texts[a:b])
+            flat = words.take(P.pa.array(at)).to_pylist()
+            got += [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+        assert got == [cut(t) for t in texts]
+
+
+def test_only_rare_segments_are_asked_for(spark, model, monkeypatch):
+    """Frequent segments come from a sample, whatever it holds: all texts, so that none is asked for, or none."""
+    pieces, sp = model
+    texts = [f"word{i % 7} unheard{i % 7}of {i % 7} naïve☃{i % 7}日" for i in range(50)]
+    kept, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *more: kept.setdefault(name, keep(self, df, name, *more)))
+    for sampled, own in ((1, 0), (1 << 62, 7)):
+        kept.clear()
+        monkeypatch.setattr(P, "SAMPLED", sampled)
+        out = P.encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"], "text", pieces, Scratch(spark, "t"))
+        assert {r["doc_id"]: r["ids"] for r in out.collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+        assert kept["own"].count() == own
+
+
+def test_decoding_skips_ids_without_a_piece(spark, model):
+    pieces, sp = model
+    ids = sp.encode(" naïve ☃ x")
+    rows = [(1, [-1, *ids, 10**6, 0]), (2, None), (3, []), (4, [None, *ids])]
+    got = {r["doc_id"]: r["text"] for r in P.decode_ids(spark.createDataFrame(rows, "doc_id long, ids array<int>"), ["doc_id"], "ids", pieces).collect()}
+    assert got == {1: " naïve ☃ x", 2: "", 3: "", 4: " naïve ☃ x"}
