@@ -150,7 +150,7 @@ for _name, _scope, _up, _where in (
     query(_name, f"WITH {live_sql()} " + RANKED.format(order="" if _up else "DESC", where=_where))(lambda s, d, sc=_scope, up=_up: ranked_keys(reads.scan(events_live(s, d), "events", sc, up, ("k", "lsn")), up).select(key(), "lsn", "rank"))
 
 query("kv_iter_prefix", f"WITH {O} SELECT hex(k) AS key, v AS value, row_number() OVER (ORDER BY k) AS rank FROM olog WHERE substr(hex(k), 1, 16) = lpad(printf('%X', {CUSTOMER}), 16, '0')")(lambda s, d: ranked_keys(reads.iter_prefix(orders_live(s, d), "orders", be_bytes(CUSTOMER, 8))).select(key(), F.decode("v", "utf-8").alias("value"), "rank"))
-query("kv_iter_keys_prefix", f"SELECT hex(encode(url)) AS key FROM pages WHERE starts_with(url, '{PREFIX}')")(lambda s, d: reads.iter_keys_prefix(resolve(fx.pages(s, d), carry=("len",)), "pages", PREFIX.encode()).select(key()))
+query("kv_iter_keys_prefix", f"SELECT hex(encode(url)) AS key FROM pages WHERE starts_with(url, '{PREFIX}')")(lambda s, d: reads.iter_keys_prefix(resolve(fx.page_entries(s, d), carry=("len",)), "pages", PREFIX.encode()).select(F.hex(fx.url_of(F.col("k"))).alias("key")))
 query("kv_iter_range", f"WITH {O} SELECT hex(k) AS key FROM olog WHERE k >= unhex(lpad(printf('%X', 10), 16, '0')) AND k < unhex(lpad(printf('%X', 20), 16, '0'))")(lambda s, d: reads.iter_range(orders_live(s, d), "orders", be_bytes(10, 8), be_bytes(20, 8)).select(key()))
 query("kv_locate", f"WITH {O} SELECT where_, count(*) AS n FROM (SELECT CASE WHEN k < unhex(lpad(printf('%X', 10), 16, '0')) THEN 'before' WHEN k >= unhex(lpad(printf('%X', 20), 16, '0')) THEN 'past' ELSE 'inside' END AS where_ FROM olog) GROUP BY where_")(lambda s, d: orders_live(s, d).groupBy(Scope.range(be_bytes(10, 8), be_bytes(20, 8)).locate_column(F.col("k")).alias("where_")).agg(F.count("*").alias("n")))
 

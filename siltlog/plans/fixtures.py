@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import be
@@ -56,6 +56,18 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(p.select((F.col("page_id") + 1).alias("lsn"), F.encode("url", "utf-8").alias("k"), F.lit(0).alias("kind"), F.encode("html", "utf-8").alias("v")), "pages")
 
 
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with keys of their own: the url (null: empty), a zero byte and the page's number. Pages that share a url don't replace each other."""
+    p = _read(spark, sf_dir, "pages")
+    k = F.concat(F.coalesce(F.encode("url", "utf-8"), F.lit(b"")), F.lit(b"\0"), be(F.col("page_id"), 8))
+    return _log(p.select((F.col("page_id") + 1).alias("lsn"), k.alias("k"), F.lit(0).alias("kind"), F.encode("html", "utf-8").alias("v")), "pages")
+
+
+def url_of(k: Column) -> Column:
+    """The url in a key of ``page_entries``."""
+    return F.substring(k, F.lit(1), F.octet_length(k) - 9)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents")
     return _log(d.select((F.col("doc_id") + 1).alias("lsn"), be(F.col("doc_id"), 8).alias("k"), F.lit(0).alias("kind"), F.encode("text", "utf-8").alias("v")), "documents")
