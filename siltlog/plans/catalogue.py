@@ -168,7 +168,7 @@ query("kv_bytes_prefix_empty", f"WITH {O} SELECT CAST(coalesce(sum(len), 0) AS B
 
 
 def three_live(s: SparkSession, d: str) -> DataFrame:
-    return resolve(fx.events(s, d).unionByName(fx.orders(s, d)).unionByName(fx.pages(s, d)), carry=("len",))
+    return resolve(fx.events(s, d).unionByName(fx.orders(s, d)).unionByName(fx.page_entries(s, d)), carry=("len",))
 
 
 THREE = f"{live_sql()}, {O}, {P}, three AS (SELECT 'events' AS cf, len FROM live UNION ALL SELECT 'orders', len FROM olog UNION ALL SELECT 'pages', len FROM plog)"
