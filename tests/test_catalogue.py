@@ -33,7 +33,7 @@ def test_key_predicate_reaches_the_scan(spark, sf_dir, tmp_path):
     assert ",v:" not in sizes and "SortAggregate" not in sizes
 
 
-@pytest.mark.parametrize("name", ["kv_iter_keys_prefix", "kv_totals", "kv_column_totals"])
+@pytest.mark.parametrize("name", ["kv_iter_keys_prefix", "kv_totals", "kv_column_totals", "kv_cf_disk_usage"])
 def test_pages_that_share_a_url(spark, sf_dir, tmp_path, name):
     from pyspark.sql import functions as F
 
