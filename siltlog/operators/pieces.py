@@ -8,31 +8,72 @@ own piece and one figure for all that lie over it.
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ranges that start in a piece, about, and the most pieces.
-EACH, MOST = 64, 4096
+EACH, MOST = 16, 4096
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """The same rows, read once and kept by the driver: for few of them."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def outline(ranges: Sequence[tuple[bytes, bytes | None, int]]) -> list[tuple[bytes, bytes | None, int]]:
+    """Disjoint ranges in order, each with the largest number of those ranges (start, end: None for none, number) that lie over it."""
+    points = sorted({p for start, end, _ in ranges for p in (start, end) if p is not None})
+    waiting, open_, out = sorted(ranges, key=lambda r: r[0], reverse=True), [], []
+    for i, point in enumerate(points):
+        while waiting and waiting[-1][0] <= point:
+            _, end, number = waiting.pop()
+            heapq.heappush(open_, (-number, end is None, end or b""))
+        while open_ and not open_[0][1] and open_[0][2] <= point:
+            heapq.heappop(open_)
+        if open_:
+            until, number = points[i + 1] if i + 1 < len(points) else None, -open_[0][0]
+            if out and out[-1][1] == point and out[-1][2] == number:
+                out[-1] = (out[-1][0], until, number)
+            else:
+                out.append((point, until, number))
+    return out
 
 
 class Pieces:
     """Pieces for ``ranges`` (start, end: null for none; ``n`` of them): piece i holds keys from cut i - 1, included, to cut i."""
 
-    def __init__(self, ranges: DataFrame, n: int, start: str = "start"):
+    def __init__(self, ranges: DataFrame | Sequence[bytes], n: int, start: str = "start"):
+        """``ranges`` may be the list of their starts."""
         wanted = min(MOST, 1 << max(1, math.ceil(math.log2(max(2, n / EACH)))))
-        sample = ranges.select(F.col(start).alias("s")).distinct().orderBy(F.xxhash64("s")).limit(8 * wanted)
-        starts = sorted(bytes(r[0]) for r in sample.collect())
+        if isinstance(ranges, DataFrame):
+            sample = ranges.select(F.col(start).alias("s")).distinct().orderBy(F.xxhash64("s")).limit(8 * wanted)
+            starts = sorted(bytes(r[0]) for r in sample.collect())
+        else:
+            starts = sorted(set(ranges))
         step = max(1, len(starts) // wanted)
         self.cuts = starts[step::step]
         self.size = 1 << len(self.cuts).bit_length()  # leaves of the tree: more than there are cuts
-        self.held = F.array(*(F.lit(c) for c in self.cuts)) if self.cuts else F.array().cast("array<binary>")
+        # one literal, of hex digits, which sort as the bytes do: a literal a cut makes plans slow to analyse
+        self.held = F.split(F.lit(",".join(c.hex().upper() for c in self.cuts)), ",") if self.cuts else F.array().cast("array<string>")
 
     def of(self, key: Column) -> Column:
         """The number of a key's piece."""
         steps = [1 << b for b in reversed(range(max(1, len(self.cuts).bit_length())))]
-        return F.aggregate(F.lit(steps), F.lit(0), lambda n, s: F.when(F.coalesce(F.get(self.held, n + s - 1) <= key, F.lit(False)), n + s).otherwise(n))
+        return F.aggregate(F.lit(steps), F.lit(0), lambda n, s: F.when(F.coalesce(F.get(self.held, n + s - 1) <= F.hex(key), F.lit(False)), n + s).otherwise(n))
+
+    def dealt(self, ranges: Sequence[tuple[bytes, bytes | None, int]]) -> list[tuple[int, bytes, bytes | None, int]]:
+        """Disjoint ranges with the number of their piece, cut where they cross from one into the next."""
+        out = []
+        for start, end, number in ranges:
+            first, last = bisect_right(self.cuts, start), len(self.cuts) if end is None else bisect_left(self.cuts, end)
+            for piece in range(first, last + 1):
+                out.append((piece, start if piece == first else self.cuts[piece - 1], end if piece == last else self.cuts[piece], number))
+        return out
 
     def last_of(self, end: Column) -> Column:
         return F.when(end.isNull(), F.lit(len(self.cuts))).otherwise(self.of(end))

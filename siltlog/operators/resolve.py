@@ -1,7 +1,7 @@
 """The live view: the newest version of each key that no delete hides.
 
 One partial and one final aggregation on (cf, k) pick the newest version; key predicates reach the scan below it, since k is
-a grouping key. Range deletes hide by an anti-join: broadcast while they are few, counted; else by pieces of the keyspace.
+a grouping key. Range deletes hide by an anti-join: each against each row while they are few, counted; else by pieces of the keyspace.
 For lookups of many keys, ``narrowed`` puts the keys below the aggregation.
 """
 
@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pieces import Pieces
+from .pieces import Pieces, outline
 from .schema import DATA, RANGE, TOMBSTONE
 
-#: Range deletes, and keys asked for, up to these numbers are broadcast; keys up to LISTED_KEYS are written into the plan.
-BROADCAST_COVERS, BROADCAST_KEYS, LISTED_KEYS = 4096, 100_000, 256
+#: Range deletes up to BROADCAST_COVERS are held against each row, up to LISTED_COVERS read once and broadcast by pieces.
+BROADCAST_COVERS, LISTED_COVERS = 256, 100_000
+#: Keys asked for up to BROADCAST_KEYS are broadcast, up to LISTED_KEYS written into the plan.
+BROADCAST_KEYS, LISTED_KEYS = 100_000, 256
 CARRIED = ("kind", "v", "len", "segment_id")
 
 
@@ -48,8 +50,9 @@ def _hides(rows: str, covers: str) -> Column:
 def joined_with_covers(rows: DataFrame, covers: DataFrame, how: str, few: bool | None = None) -> DataFrame:
     """rows (cf, k, lsn, ...) semi- or anti-joined with the covers that hide them.
 
-    Beyond BROADCAST_COVERS the join is an equi-join on pieces of the keyspace (see ``pieces``), which shuffles and spills: a row
-    meets the covers that end in its piece, and the largest number of those that lie over all of it.
+    Beyond BROADCAST_COVERS the join is an equi-join on pieces of the keyspace (see ``pieces``). Up to LISTED_COVERS, the covers' outline is
+    broadcast: a row meets the few disjoint ranges of its piece, where it stands. Beyond, the join shuffles and spills: a row meets the covers
+    that end in its piece, and the largest number of those that lie over all of it.
     """
     if few is None:
         n = covers.count()
@@ -58,6 +61,16 @@ def joined_with_covers(rows: DataFrame, covers: DataFrame, how: str, few: bool |
         n = 0 if few else covers.count()
     if few:
         return rows.alias("r").join(F.broadcast(covers.alias("c")), _hides("r", "c"), how)
+    if n <= LISTED_COVERS:
+        by_cf: dict[str, list] = {}
+        for r in covers.select("cf", "start", "end", "lsn").collect():
+            by_cf.setdefault(r["cf"], []).append((bytes(r["start"]), None if r["end"] is None else bytes(r["end"]), r["lsn"]))
+        lines = {cf: outline(found) for cf, found in by_cf.items()}
+        starts = [start for line in lines.values() for start, _, _ in line]
+        pieces = Pieces(starts, len(starts))
+        cut = [(cf, piece, bytearray(start), None if end is None else bytearray(end), lsn) for cf, line in lines.items() for piece, start, end, lsn in pieces.dealt(line)]
+        dealt = F.broadcast(rows.sparkSession.createDataFrame(cut, "cf string, piece int, start binary, end binary, lsn long"))
+        return rows.withColumn("piece", pieces.of(F.col("k"))).alias("r").join(dealt.alias("c"), (F.col("r.piece") == F.col("c.piece")) & _hides("r", "c"), how).drop("piece")
     pieces = Pieces(covers, n)
     partly = covers.withColumn("piece", F.explode(pieces.ends(F.col("start"), F.col("end")))).select("cf", "piece", "start", "end", "lsn")
     whole = covers.select("cf", "lsn", F.explode(pieces.nodes(F.col("start"), F.col("end"))).alias("node")).groupBy("cf", "node").agg(F.max("lsn").alias("lsn"))

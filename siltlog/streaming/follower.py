@@ -56,7 +56,7 @@ class Follower:
         return max((n for n in found if self.files.exists(f"state-{n:08d}/_SUCCESS") and self.files.exists(f"seen-{n:08d}.json")), default=None)
 
     def _state(self, number: int | None) -> DataFrame:
-        return self.spark.createDataFrame([], LOG) if number is None else self.spark.read.schema(LOG).parquet(f"{self.files.root}/state-{number:08d}")
+        return self.spark.range(1).where(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in LOG)) if number is None else self.spark.read.schema(LOG).parquet(f"{self.files.root}/state-{number:08d}")
 
     def _seen(self, number: int | None) -> set[int]:
         return set() if number is None else set(json.loads(self.files.read(f"seen-{number:08d}.json")))

@@ -123,3 +123,30 @@ def test_lookups_meet_their_keys_below_the_aggregation(spark):
     plan = view._jdf.queryExecution().optimizedPlan().toString()
     grouped, joined = plan.index("Aggregate [cf"), plan.index("LeftSemi")
     assert grouped < joined
+
+
+def some_hundred_covers():
+    rng, ops = random.Random(5), []
+    for lsn in range(1, 1200):
+        k = bytes([rng.randrange(256), rng.randrange(256)])
+        end = rng.choice([bytes([min(255, k[0] + rng.choice([0, 1, 60])), rng.randrange(256)]), None if lsn < 40 else b"\xff"])
+        ops.append((lsn, 2, k, end, None) if lsn % 3 == 0 else (lsn, 0, k, None, b"v"))
+    return ops
+
+
+def test_some_hundred_covers_are_not_held_against_each_row(spark, monkeypatch):
+    ops = some_hundred_covers()
+    log, want = make(spark, ops).cache(), oracle(ops)
+    covers = R.covers_of(log).count()
+    assert 256 < covers <= 4096
+    view = R.resolve(log)
+    assert got(view) == want
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(R, "LISTED_COVERS", 0)
+    assert got(R.resolve(log)) == want
+    both = make(spark, ops).unionByName(make(spark, ops).withColumn("cf", F.lit("b")))
+    for bound in (0, 100_000):
+        monkeypatch.setattr(R, "LISTED_COVERS", bound)
+        view = R.resolve(both)
+        assert all(got(view.where(F.col("cf") == cf)) == want for cf in "ab")
