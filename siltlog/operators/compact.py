@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import is_purged
-from .pieces import Pieces
-from .resolve import BROADCAST_COVERS, newest, resolve
+from .pieces import Pieces, listed
+from .resolve import BROADCAST_COVERS, LISTED_COVERS, newest, resolve
 from .schema import DATA, RANGE, TOMBSTONE, Registry
 
 
@@ -39,21 +39,25 @@ def live_copies(log: DataFrame, segments: list[int], registry: Registry | None =
 def ranges_over_older(ranges: DataFrame, data: DataFrame, few: bool | None = None) -> DataFrame:
     """cf, k and lsn of those range deletes (cf, k, range_end, lsn) within which data (cf, k, lsn) has an older version.
 
-    Up to BROADCAST_COVERS of them are broadcast, and what they meet is reduced to them before it moves. Beyond, a range that
-    holds pieces of the keyspace whole asks for the least number there; only the pieces of its ends are searched.
+    Of each key, only its oldest version is asked. Up to BROADCAST_COVERS ranges meet each key. Beyond, a range that holds pieces of the
+    keyspace whole asks for the least number there; only the pieces of its ends are searched, where the keys stand up to LISTED_COVERS ranges.
     """
+    data = data.groupBy("cf", "k").agg(F.min("lsn").alias("lsn"))
     asked = ranges.select("cf", F.col("k").alias("start"), F.col("range_end").alias("end"), "lsn").distinct()
     n = asked.count() if few is None or not few else 0
     within = (F.col("o.lsn") < F.col("r.lsn")) & (F.col("o.k") >= F.col("r.start")) & (F.col("r.end").isNull() | (F.col("o.k") < F.col("r.end")))
     names = [F.col("r.cf").alias("cf"), F.col("r.start").alias("k"), F.col("r.lsn").alias("lsn")]
     if few or few is None and n <= BROADCAST_COVERS:
         return data.alias("o").join(F.broadcast(asked.alias("r")), (F.col("r.cf") == F.col("o.cf")) & within).select(*names).distinct()
+    here = n <= LISTED_COVERS
+    asked = listed(asked) if here else asked
     pieces = Pieces(asked, n)
     placed = data.withColumn("piece", pieces.of(F.col("k")))
     least = placed.groupBy("cf", "piece").agg(F.min("lsn").alias("least")).withColumn("node", F.explode(pieces.above(F.col("piece")))).groupBy("cf", "node").agg(F.min("least").alias("least"))
     over = asked.withColumn("node", F.explode(pieces.nodes(F.col("start"), F.col("end")))).join(least, ["cf", "node"]).where("least < lsn").select("cf", F.col("start").alias("k"), "lsn")
     parts = asked.withColumn("piece", F.explode(pieces.ends(F.col("start"), F.col("end"))))
-    met = parts.alias("r").join(placed.alias("o"), (F.col("r.cf") == F.col("o.cf")) & (F.col("r.piece") == F.col("o.piece")) & within, "left_semi").select(*names)
+    same = (F.col("r.cf") == F.col("o.cf")) & (F.col("r.piece") == F.col("o.piece")) & within
+    met = placed.alias("o").join(F.broadcast(parts.alias("r")), same).select(*names) if here else parts.alias("r").join(placed.alias("o"), same, "left_semi").select(*names)
     return over.union(met).distinct()
 
 

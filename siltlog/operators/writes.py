@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import RejectedError
@@ -82,15 +82,19 @@ def log_frame(df: DataFrame) -> DataFrame:
     )
 
 
-def invalid_rows(df: DataFrame, registry: Registry) -> DataFrame:
-    """Rows of a log that a family doesn't admit: unknown family, key width, kind, or a null where none may be."""
+def invalid(registry: Registry) -> Column:
+    """Whether a family doesn't admit a row of a log: unknown family, key width, kind, or a null where none may be."""
     known = F.col("cf").isin([f.name for f in registry.families])
     widths = F.lit(False)
     for f in registry.families:
         size = F.octet_length("k")
         widths |= (F.col("cf") == f.name) & ((size != f.width) if f.width is not None else size > 1056) & (F.col("kind") != RANGE)
     bad_kind = ~F.col("kind").isin(DATA, TOMBSTONE, RANGE) | ((F.col("kind") == DATA) & F.col("v").isNull()) | ((F.col("kind") != RANGE) & F.col("range_end").isNotNull())
-    return df.where(~F.coalesce(known, F.lit(False)) | F.col("k").isNull() | widths | F.coalesce(bad_kind, F.lit(True)))
+    return ~F.coalesce(known, F.lit(False)) | F.col("k").isNull() | widths | F.coalesce(bad_kind, F.lit(True))
+
+
+def invalid_rows(df: DataFrame, registry: Registry) -> DataFrame:
+    return df.where(invalid(registry))
 
 
 def bounded(df: DataFrame, registry: Registry) -> DataFrame:

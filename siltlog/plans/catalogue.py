@@ -339,10 +339,9 @@ def scratch(s: SparkSession) -> str:
 def stored(s: SparkSession, d: str, where: str, batches: int = 3) -> Store:
     """E, appended to a store in so many batches."""
     store = Store(s, where, fx.REGISTRY.families)
-    rows = fx.events(s, d).select("cf", "k", "kind", "v", "range_end", "lsn")
-    top = rows.agg(F.max("lsn")).first()[0]
+    top = fx.events(s, d).agg(F.max("lsn")).first()[0]
     for i in range(batches):
-        store.append(rows.where((F.col("lsn") > top * i // batches) & (F.col("lsn") <= top * (i + 1) // batches)), ["lsn"])
+        store.append(fx.events(s, d, top * i // batches, top * (i + 1) // batches).select("cf", "k", "kind", "v", "range_end", "lsn"), ["lsn"])
     return store
 
 

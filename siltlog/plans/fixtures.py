@@ -25,9 +25,11 @@ def _log(rows: DataFrame, cf: str) -> DataFrame:
     return log_frame(rows).select(*LOG.fieldNames())
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys are users; errors delete a user, every 97th signup the range of eight users from its own on."""
+def events(spark: SparkSession, sf_dir: str, after: int | None = None, upto: int | None = None) -> DataFrame:
+    """Keys are users; errors delete a user, every 97th signup the range of eight users from its own on. Numbers after one and up to another are read alone."""
     e = _read(spark, sf_dir, "events")
+    if after is not None and upto is not None:  # numbers are ids and 1: said of ids, it reaches the scan
+        e = e.where((F.col("event_id") >= after) & (F.col("event_id") < upto))
     kind = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 97 == 0), 2).when(F.col("event_type") == "error", 1).otherwise(0)
     return _log(e.select((F.col("event_id") + 1).alias("lsn"), be(F.col("user_id"), 8).alias("k"), kind.alias("kind"), F.when(kind == 2, be(F.col("user_id") + 8, 8)).alias("range_end"), F.encode("props", "utf-8").alias("v")), "events")
 

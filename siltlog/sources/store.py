@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, CorruptionError, LockHeldError, RejectedError
 from ..operators import accounting, compact, reads, reports
-from ..operators.resolve import CARRIED, narrowed, resolve
+from ..operators.resolve import BROADCAST_COVERS, CARRIED, narrowed, resolve
 from ..operators.schema import DATA, LOG, RANGE, ColumnFamily, Registry, Volume
 from ..operators.scope import Scope
-from ..operators.writes import WriteBatch, batch_rows, bounded, in_order, invalid_rows, log_frame, numbered, plan_batch
+from ..operators.writes import WriteBatch, batch_rows, bounded, in_order, invalid, log_frame, numbered, plan_batch
 from . import codec
 from .files import Files
 from .volumes import Volumes
@@ -244,13 +244,14 @@ class Store:
         in_order(codec.with_packed(bounded(rows, self.registry), self.registry), [extra.get(c, c) for c in order]).write.parquet(staged)
         try:
             self._room_for(max(1, self.files.size(staged.removeprefix(f"{self.root}/"))))
-            rows = numbered(self.spark.read.parquet(staged), base).withColumn("batch_id", F.lit(changed["next_batch"]))
-            logged = log_frame(rows.drop(*extra.values()))
-            bad = invalid_rows(logged, self.registry).limit(1).collect()
-            if bad:
-                self.registry[bad[0]["cf"]]
-                raise RejectedError(f"a row is not admitted: {bad[0]['cf']} {bytes(bad[0]['k'] or b'').hex()}")
-            entry = self._write_segment(logged, changed, most=self.spark.read.parquet(staged).count())
+            read = self.spark.read.parquet(staged).drop(*extra.values())
+            bad = F.first(F.when(invalid(self.registry), F.struct("cf", "k")), ignorenulls=True)
+            told = log_frame(read.withColumn("lsn", F.lit(base))).agg(F.count("*").alias("n"), bad.alias("bad")).first()  # one pass, all tasks at once
+            if told["bad"]:
+                self.registry[told["bad"]["cf"]]
+                raise RejectedError(f"a row is not admitted: {told['bad']['cf']} {bytes(told['bad']['k'] or b'').hex()}")
+            logged = log_frame(numbered(read, base).withColumn("batch_id", F.lit(changed["next_batch"])))
+            entry = self._write_segment(logged, changed, most=told["n"])
         finally:
             self.files.delete(staged.removeprefix(f"{self.root}/"))
         if entry:
@@ -276,7 +277,7 @@ class Store:
         return rows.where(F.col("cf") == cf) if cf else rows
 
     def _few(self) -> bool:
-        return sum(s["ranges"] for s in self.manifest["segments"]) <= 4096
+        return sum(s["ranges"] for s in self.manifest["segments"]) <= BROADCAST_COVERS
 
     def _opened(self, cf: str, live: DataFrame) -> DataFrame:
         """Live rows with their values as they were written."""

@@ -150,3 +150,18 @@ def test_some_hundred_covers_are_not_held_against_each_row(spark, monkeypatch):
         monkeypatch.setattr(R, "LISTED_COVERS", bound)
         view = R.resolve(both)
         assert all(got(view.where(F.col("cf") == cf)) == want for cf in "ab")
+
+
+def test_ranges_meet_the_oldest_version_of_each_key(spark, monkeypatch):
+    """However many versions a key has, one row of it stands in a piece."""
+    ops = some_hundred_covers()
+    log = make(spark, ops).cache()
+    ranges, data = log.where("kind = 2"), log.where("kind = 0").select("cf", "k", "lsn")
+    older = {lsn for lsn, kind, k, end, _ in ops if kind == 2 and any(x == 0 and n < lsn and j >= k and (end is None or j < end) for n, x, j, _, _ in ops)}
+    for bound in (100_000, 0):
+        monkeypatch.setattr(C, "LISTED_COVERS", bound)
+        for few in (None, False):
+            out = C.ranges_over_older(ranges, data, few)
+            assert {r["lsn"] for r in out.collect()} == older
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "min(lsn" in plan and "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
